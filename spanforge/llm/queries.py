@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash
+from . import bpe, minhash, mixing
+from .durable import durable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Sizes are checkpointed without texts, so that texts are read and cut into words once.
+    slim = mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_size", "mix_key")
+    mixed = mixing.mix(durable(slim))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return done.select(
@@ -37,7 +45,10 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_mix_sources": op4_mix_sources,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_mix_sources": mixing.ORACLE,
+}
