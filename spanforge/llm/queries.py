@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing
+from . import bpe, langid, minhash, mixing
 from .durable import durable
 
 
@@ -33,6 +33,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return langid.predict(documents, langid.fit(documents))
+
+
 def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path())
     return done.select(
@@ -46,6 +51,7 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
+    "op5_language_id": op5_language_id,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
 }
 
