@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing
+from . import bpe, langid, minhash, mixing, pii
 from .durable import durable
 
 
@@ -22,6 +22,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def spans_digest(found: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """doc_id, the number of base spans of each kind (column name by kind), base_sha256 and spans."""
+    shown = "array_join(transform({0}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(n) for k, n in kinds.items()]
+    return found.select("doc_id", *counts, F.sha2(F.expr(shown.format("base")).cast("binary"), 256).alias("base_sha256"), F.expr(shown.format("spans")).alias("spans"))
+
+
+def op1_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_digest(pii.scan(table(spark, sf_dir, "documents")), {k: f"n_{k}" for k in pii.KINDS})
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +60,7 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
