@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, mixing, pii
+from . import bpe, flac, langid, minhash, mixing, pii
 from .durable import durable
 
 
@@ -59,12 +59,27 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = flac.store(table(spark, sf_dir, "documents"))
+    return stored.select(
+        "doc_id",
+        "n_bytes",
+        F.length("pcm").cast("long").alias("payload_bytes"),
+        F.sha2("pcm", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pcm", -16, 16)).alias("tail_crc32"),
+        F.length("flac").cast("long").alias("media_bytes"),
+        F.sha2("flac", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op10_flac_media": op10_flac_media,
 }
 
 ORACLES: dict[str, str] = {
