@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, langid, minhash, mixing, pii
+from . import bpe, flac, langid, minhash, mixing, pii, secrets
 from .durable import durable
 
 
@@ -59,6 +59,10 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_secret_scan_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans_digest(secrets.scan(table(spark, sf_dir, "documents")), {k: f"n_{k}" for k in secrets.KINDS})
+
+
 def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = flac.store(table(spark, sf_dir, "documents"))
     return stored.select(
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op9_secret_scan_cnn": op9_secret_scan_cnn,
     "op10_flac_media": op10_flac_media,
 }
 
