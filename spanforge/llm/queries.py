@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, langid, minhash, mixing, pii, secrets
+from . import bpe, flac, langid, maxscore, minhash, mixing, pii, secrets
 from .durable import durable
 
 
@@ -59,6 +59,11 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = maxscore.integers(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
 def op9_secret_scan_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(secrets.scan(table(spark, sf_dir, "documents")), {k: f"n_{k}" for k in secrets.KINDS})
 
@@ -83,10 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scan_cnn": op9_secret_scan_cnn,
     "op10_flac_media": op10_flac_media,
 }
 
 ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing.ORACLE,
+    "op8_exact_top_k": maxscore.ORACLE,
 }
