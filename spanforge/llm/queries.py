@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, flac, langid, maxscore, minhash, mixing, pii, secrets
+from . import bpe, flac, langid, licenses, lm_scoring, maxscore, minhash, mixing, pii, secrets
 from .durable import durable
 
 
@@ -33,6 +33,10 @@ def op1_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans_digest(pii.scan(table(spark, sf_dir, "documents")), {k: f"n_{k}" for k in pii.KINDS})
 
 
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,11 @@ def op6_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_scoring.score(table(spark, sf_dir, "documents"), good)
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = maxscore.integers(table(spark, sf_dir, "embeddings"))
     return maxscore.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
@@ -84,16 +93,19 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
+    "op2_license_digests": op2_license_digests,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_mix_sources": op4_mix_sources,
     "op5_language_id": op5_language_id,
     "op6_bpe_encode_decode": op6_bpe_encode_decode,
+    "op7_lm_cross_entropy": op7_lm_cross_entropy,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scan_cnn": op9_secret_scan_cnn,
     "op10_flac_media": op10_flac_media,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_license_digests": licenses.ORACLE,
     "op4_mix_sources": mixing.ORACLE,
     "op8_exact_top_k": maxscore.ORACLE,
 }
