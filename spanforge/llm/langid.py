@@ -196,3 +196,15 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return map_steps(rows, step, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def filter_documents(documents: DataFrame, model: Model, least: float) -> DataFrame:
+    """documents, all columns, without those that have no letter or no language with a chance of at least `least`."""
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+    place = documents.columns.index("text")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        names, scores = sent.value.predict(batch.column(place).to_pylist())
+        return batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= least)))
+
+    return map_steps(documents, step, documents.schema, place)
