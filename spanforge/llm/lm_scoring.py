@@ -88,7 +88,8 @@ def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score); target_ids: (doc_id) of the target corpus."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
-    flagged = rows.join(wanted, "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
+    # Ids have no size bound, so the flag comes by a shuffle join at any size; a broadcast would only suit small tables.
+    flagged = rows.join(wanted.hint("merge"), "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
     models = documents.sparkSession.sparkContext.broadcast(count(flagged))
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
