@@ -1 +1 @@
-"""Sensitive-span analytics on Spark."""
+"""Sensitive-span analytics on Spark: find, resolve, replace, rewrite and score sensitive spans in many documents."""
