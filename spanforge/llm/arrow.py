@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step inside a worker handles at once. A single longer text is one step.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -40,11 +40,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def map_steps(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, column: int = 1) -> DataFrame:
+def map_steps(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema, column: int = 1, most: int = STEP_BYTES) -> DataFrame:
     """Apply `step` to slices of bounded size; map-only, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, column):
+        for part in steps(batches, column, most):
             yield step(part)
 
     return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import STEP_BYTES, map_steps, steps
+from .arrow import map_steps, steps
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -28,6 +28,8 @@ ORDERS = (1, 2, 3)
 SAMPLE_PER_LANGUAGE = 600
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 20.0, 1.0, 0.002, 0.0002
+#: Bytes of text that are turned into n-grams at once; their arrays take about sixty times as much.
+STEP_BYTES = 1 << 20
 MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNKNOWN = "und"
 
@@ -125,7 +127,7 @@ def vectors(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int, np.ndarr
             values.append((x / max(x.sum(), 1e-12)).astype(np.float32))
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "part", "at", "x"])
 
-    rows = map_steps(sample, step, "lang string, part int, at array<int>, x array<float>").toPandas()
+    rows = map_steps(sample, step, "lang string, part int, at array<int>, x array<float>", most=STEP_BYTES).toPandas()
     return [(r.lang, r.part, np.asarray(r.at, np.intp), np.asarray(r.x, np.float64)) for r in rows.sort_values(["lang", "part"], kind="stable").itertuples(index=False)]
 
 
@@ -195,7 +197,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         names, scores = sent.value.predict(batch.column(1).to_pylist())
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return map_steps(rows, step, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_steps(rows, step, "doc_id long, held_out boolean, lang_pred string, score double", most=STEP_BYTES)
 
 
 def filter_documents(documents: DataFrame, model: Model, least: float) -> DataFrame:
@@ -207,4 +209,4 @@ def filter_documents(documents: DataFrame, model: Model, least: float) -> DataFr
         names, scores = sent.value.predict(batch.column(place).to_pylist())
         return batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= least)))
 
-    return map_steps(documents, step, documents.schema, place)
+    return map_steps(documents, step, documents.schema, place, STEP_BYTES)
