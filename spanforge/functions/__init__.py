@@ -1 +1 @@
-"""Sensitive-span analytics on Spark."""
+"""Functions of the engine."""

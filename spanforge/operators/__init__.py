@@ -1 +1 @@
-"""Sensitive-span analytics on Spark."""
+"""Operators of the engine."""

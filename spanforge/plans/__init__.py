@@ -1 +1 @@
-"""Sensitive-span analytics on Spark."""
+"""Plans of the engine."""

@@ -1 +1 @@
-"""Sensitive-span analytics on Spark."""
+"""Sources and sinks."""

@@ -1 +1 @@
-"""Sensitive-span analytics on Spark."""
+"""Streaming of the engine."""
