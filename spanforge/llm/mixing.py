@@ -12,7 +12,7 @@ budget is cut at that place, inside a document if need be.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows with one doc_id are
 documents of their own, in the order of size and text; a source without words gets nothing; an empty table gives an
-empty result; other columns are kept by `mix` and `expand`, ignored by the query.
+empty result; other columns, whatever their names, are kept by `mix` and `expand`, ignored by the query.
 """
 
 from __future__ import annotations
@@ -30,10 +30,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def sized(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """documents with mix_size (words of the text) and mix_key (hash that orders its source)."""
+    """(row, source, size, key) of documents: the whole row, its source, the words of its text and the hash that
+    orders its source. Columns of documents stay inside `row`, whatever their names."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return documents.withColumns({"mix_size": size, "mix_key": key})
+    return documents.select(F.struct("*").alias("row"), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -53,45 +54,45 @@ def targets(sources: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.col("chosen")).alias("target"))
 
 
-def mix(documents: DataFrame, parts: int | None = None) -> DataFrame:
-    """Rows of `sized` documents with source_size, target and taken (words that the mix takes, repeats counted)."""
-    parts = parts or min(MOST_PARTS, 1 + documents.count() // PART_ROWS)
-    part = F.floor(F.conv(F.substring("mix_key", 1, 4), 16, 10).cast("long") * parts / MOST_PARTS)
-    rows = documents.withColumn("mix_part", part)
-    by_part = rows.groupBy("source", "mix_part").agg(F.sum("mix_size").alias("part_size"))
-    running = Window.partitionBy("source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+def mix(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """(row, size, source_size, target, taken) of `sized` rows; taken: words that the mix takes, repeats counted."""
+    parts = parts or min(MOST_PARTS, 1 + rows.count() // PART_ROWS)
+    part = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * parts / MOST_PARTS)
+    rows = rows.withColumn("part", part)
+    by_part = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.withColumn("part_start", F.coalesce(F.sum("part_size").over(running), F.lit(0)))
     goals = targets(by_part.groupBy("source").agg(F.sum("part_size").alias("source_size")))
     plan = offsets.join(goals, offsets["source"].eqNullSafe(goals["source"])).select(
-        offsets["source"].alias("plan_source"), F.col("mix_part").alias("plan_part"), "part_start", "source_size", "target"
+        offsets["source"].alias("plan_source"), F.col("part").alias("plan_part"), "part_start", "source_size", "target"
     )
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]) & (F.col("mix_part") == F.col("plan_part")))
-    inside = Window.partitionBy("source", "mix_part").orderBy("mix_key", "doc_id", "mix_size", *(["text"] if "text" in documents.columns else []))
-    start = F.col("part_start") + F.coalesce(F.sum("mix_size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]) & (F.col("part") == F.col("plan_part")))
+    fields = rows.schema["row"].dataType.names
+    ties = [F.col("row")[c] for c in ("doc_id", "text") if c in fields]
+    inside = Window.partitionBy("source", "part").orderBy("key", *ties[:1], "size", *ties[1:])
+    start = F.col("part_start") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5D) as bigint) div source_size")).otherwise(0)
-    placed = joined.withColumn("mix_start", start).withColumn("mix_epochs", epochs)
-    rest = budget - F.col("mix_epochs") * F.col("source_size") - F.col("mix_start")
-    taken = F.col("mix_epochs") * F.col("mix_size") + F.least(F.greatest(rest, F.lit(0)), F.col("mix_size"))
-    return placed.withColumn("taken", taken.cast("long")).select(*documents.columns, "source_size", "target", "taken")
-
-
-def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: a row for each whole copy that is taken, and one cut after its last word where the budget ends.
-
-    `columns` are returned; n_chars, if among them, follows the text.
-    """
-    whole = F.expr("if(mix_size = 0, 0, taken div mix_size)")
-    rest = F.expr("if(mix_size = 0, 0, taken % mix_size)")
-    copies = mixed.withColumns({"mix_whole": whole, "mix_rest": rest}).where("mix_whole + mix_rest > 0")
-    copies = copies.withColumn("mix_copy", F.explode(F.expr("sequence(1, mix_whole + if(mix_rest > 0, 1, 0))")))
-    # The first `mix_rest` words, each with the white space before it.
-    words = F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("mix_rest").cast("int"))
-    text = F.when(F.col("mix_copy") <= F.col("mix_whole"), F.col("text")).otherwise(F.array_join(words, ""))
-    out = copies.withColumn("text", text)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    placed = joined.withColumn("start", start).withColumn("epochs", epochs)
+    rest = budget - F.col("epochs") * F.col("source_size") - F.col("start")
+    taken = F.col("epochs") * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
+    return placed.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def expand(mixed: DataFrame) -> DataFrame:
+    """The mix itself, with the columns of documents: a row for each whole copy that is taken, and one cut after its
+    last word where the budget ends. n_chars, if there, follows the text."""
+    whole = F.expr("if(size = 0, 0, taken div size)")
+    rest = F.expr("if(size = 0, 0, taken % size)")
+    copies = mixed.withColumns({"whole": whole, "rest": rest}).where("whole + rest > 0")
+    copies = copies.withColumn("copy", F.explode(F.expr("sequence(1, whole + if(rest > 0, 1, 0))")))
+    # The first `rest` words, each with the white space before it.
+    words = F.slice(F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("rest").cast("int"))
+    text = F.when(F.col("copy") <= F.col("whole"), F.col("row.text")).otherwise(F.array_join(words, ""))
+    cut = copies.withColumn("row", F.col("row").withField("text", text))
+    if "n_chars" in mixed.schema["row"].dataType.names:
+        cut = cut.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast("long")))
+    return cut.select("row.*")
 
 
 ORACLE = rf"""
