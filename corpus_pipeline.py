@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated rows are one document; rows without an id can't be named by the answer, so all of them stay."""
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("kept_id")).select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null"))
 
 
@@ -44,7 +44,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.expand(mixing.mix(mixing.sized(docs)), docs.columns)
+    return mixing.expand(mixing.mix(mixing.sized(docs)))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
