@@ -10,8 +10,11 @@
    fails against it is held against the smallest member as well.
 4. Candidates are confirmed on the full sets, and links become components.
 
-A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6. A star can miss a link only if in no
-shared bucket either text is a centre, and no centre connects them.
+5. Where a bucket still holds several components, its members get further centres, picked by hashes; sketches sort most
+   of these pairs out before texts are read. Turns of this go on until one joins nothing.
+
+A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6. A link can be missed only if in no
+shared bucket either text is a centre or a pick of the other, and no third text connects them.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and keeps its own id; rows with one
 doc_id are rows of their own and each gets its class's answer; a null doc_id gets the answer of rows with an equal set,
@@ -21,6 +24,7 @@ or null and kept where only null ids have that set; other columns are ignored; a
 from __future__ import annotations
 
 import hashlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,9 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
+#: Members of a bucket that texts left apart are held against, and the number of equal bins below which a pair can't be
+#: at 0.8 (77 are expected there, and this is 4.9 standard deviations below).
+CHANCES, LEAST_AGREEMENT = 10, 58
 
 
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -78,12 +85,16 @@ def sketch_documents(documents: DataFrame, words: int = 2) -> DataFrame:
     return map_steps(ids_and_texts(documents), step, "doc_id long, n_shingles long, set_id binary, sketch array<int>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b) of set ids: star-shaped candidate links of classes (set_id, n_shingles, sketch), centre first."""
+def shared_buckets(classes: DataFrame) -> DataFrame:
+    """(bucket, set_id, n_shingles, members) of classes (set_id, n_shingles, sketch) for buckets of two or more."""
     bands = ", ".join(f"xxhash64({i}, slice(sketch, {i * ROWS + 1}, {ROWS}))" for i in range(BANDS))
     rows = classes.select("set_id", "n_shingles", F.explode(F.expr(f"array({bands})")).alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    rows = durable(rows.join(shared, "bucket"))
+    return rows.join(shared, "bucket")
+
+
+def star(rows: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b) of set ids: links from each bucket's centres to its members, the centre first."""
     company = rows.groupBy("set_id").agg(F.sum("members").alias("company"))
     rows = rows.join(company, "set_id")
     me = F.struct("company", "set_id", "n_shingles")
@@ -93,10 +104,31 @@ def candidates(classes: DataFrame) -> DataFrame:
         F.col("set_id").alias("b"),
         "n_shingles",
     )
-    near = pairs.where("c.a <> b and 100 * least(c.n, n_shingles) >= 80 * greatest(c.n, n_shingles)")
+    near = pairs.where(f"c.a <> b and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
     return near.select("c.a", "b").distinct()
 
 
+def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, turn: int, percent: int = 80) -> DataFrame:
+    """(a, b): further candidates for what the stars left apart.
+
+    In buckets that still hold several components every member is held against `CHANCES` members that a hash of
+    (bucket, turn, chance) picks, so a text in ten shared buckets meets up to a hundred others of its surroundings. Pairs of one
+    component are known, and those whose sketches agree too little go before any text is read.
+    """
+    rooted = rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    pick = lambda i: F.min(F.struct(F.xxhash64("bucket", "set_id", F.lit(turn), F.lit(i)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("r"), F.col("n_shingles").alias("n")))
+    picks = [pick(i).alias(f"c{i}") for i in range(CHANCES)]
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *picks).where("low <> high")
+    pairs = rooted.join(mixed.select("bucket", F.array(*[f"c{i}" for i in range(CHANCES)]).alias("cs")), "bucket")
+    pairs = pairs.select("set_id", "root", "n_shingles", F.explode("cs").alias("c"))
+    pairs = pairs.where(f"c.r <> root and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
+    pairs = pairs.select(F.greatest("c.a", "set_id").alias("a"), F.least("c.a", "set_id").alias("b")).distinct()
+    of = lambda side: classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
+    return both.where(agree >= LEAST_AGREEMENT).select("a", "b")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: (set_id, text)."""
     with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -128,11 +160,24 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
     sketched = durable(sketch_documents(documents, words))
     members = sketched.where("set_id is not null").groupBy("set_id")
     classes = members.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    pairs = durable(candidates(classes.where("rep is not null")))
     reps = members.agg(F.min("doc_id").alias("rep"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id")
-    texts = ids_and_texts(documents).join(needed, F.col("doc_id") == F.col("rep")).select("set_id", "text")
-    found = components(confirm(pairs, texts, words, percent))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = durable(pairs)
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id")
+        texts = ids_and_texts(documents).join(needed, F.col("doc_id") == F.col("rep")).select("set_id", "text")
+        return durable(confirm(pairs, texts, words, percent))
+
+    named = classes.where("rep is not null")
+    rows = durable(shared_buckets(named))
+    links = confirmed(star(rows, percent))
+    found = components(links)
+    for turn in count():  # each turn but the last joins components
+        more = confirmed(second_chance(rows, found, named, turn, percent))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = components(links)
     found = found.join(reps.withColumnRenamed("set_id", "node"), "node")
     roots = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("set_id"), "component_id")
