@@ -74,6 +74,9 @@ SPELLINGS = (
     ("initialise", "initialize"),
     ("labour", "labor"),
     ("licence", "license"),
+    ("licenced", "licensed"),
+    ("licences", "licenses"),
+    ("licencing", "licensing"),
     ("merchantibility", "merchantability"),
     ("modernisation", "modernization"),
     ("non commercial", "noncommercial"),
@@ -86,19 +89,23 @@ SPELLINGS = (
     ("wilful", "willful"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that only say who holds the rights.
-RIGHTS = r"(^|\n)[\x20\t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that only say who holds the rights; a wrapped line may well begin with the word itself.
+RIGHTS = r"(^|\n)[\x20\t]*(copyright[\x20\t]*(\(c\)|©|[0-9]|:|by[\x20\t])|\(c\)[\x20\t]*(copyright|[0-9])|©|all rights reserved)[^\n]*"
 #: All of ASCII but digits and small letters, and typographic marks and white space beyond ASCII.
 MARKS = r"[\x00-\x2f\x3a-\x60\x7b-\x7f\x{a0}\x{ab}\x{bb}\x{2010}-\x{201f}\x{2026}\x{2028}\x{2029}\x{202f}\x{3000}]+"
 
 
+def _framed(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
+
+
 def canonical(text: F.Column) -> F.Column:
-    """The text without what makes no difference; words are parted and framed by single blanks."""
+    """The text without what makes no difference; each word has a blank of its own on either side."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    plain = F.regexp_replace(F.regexp_replace(low, RIGHTS, "\n"), MARKS, " ")
+    plain = F.regexp_replace(F.regexp_replace(low, RIGHTS, "\n"), MARKS, "  ")
     framed = F.concat(F.lit(" "), F.trim(plain), F.lit(" "))
     for other, usual in SPELLINGS:
-        framed = F.replace(framed, F.lit(f" {other} "), F.lit(f" {usual} "))
+        framed = F.replace(framed, F.lit(_framed(other)), F.lit(_framed(usual)))
     return framed
 
 
@@ -118,10 +125,10 @@ def scan(documents: DataFrame) -> DataFrame:
 def _canonical_sql(text: str) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     low = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
-    plain = f"regexp_replace(regexp_replace({low}, {quote(RIGHTS)}, chr(10), 'g'), {quote(MARKS)}, ' ', 'g')"
+    plain = f"regexp_replace(regexp_replace({low}, {quote(RIGHTS)}, chr(10), 'g'), {quote(MARKS)}, '  ', 'g')"
     framed = f"' ' || trim({plain}) || ' '"
     for other, usual in SPELLINGS:
-        framed = f"replace({framed}, ' {other} ', ' {usual} ')"
+        framed = f"replace({framed}, '{_framed(other)}', '{_framed(usual)}')"
     return framed
 
 
