@@ -41,6 +41,8 @@ BINS = BANDS * ROWS
 #: Members of a bucket that texts left apart are held against, and the number of equal bins below which a pair can't be
 #: at 0.8 (77 are expected there, and this is 4.9 standard deviations below).
 CHANCES, LEAST_AGREEMENT = 10, 58
+#: Ids that may be broadcast (some 40 bytes each).
+BROADCAST_IDS = 500_000
 
 
 def sketches(sets: list[np.ndarray], bins: int = BINS) -> np.ndarray:
@@ -160,24 +162,27 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
     sketched = durable(sketch_documents(documents, words))
     members = sketched.where("set_id is not null").groupBy("set_id")
     classes = members.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    reps = members.agg(F.min("doc_id").alias("rep"))
+    rows = durable(shared_buckets(classes.where("rep is not null")))
+    # From here on only classes that share a bucket matter.
+    near = durable(classes.join(rows.select("set_id").distinct(), "set_id").select("set_id", "rep", "sketch"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id")
+        needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(near, "set_id").select("set_id", "rep"))
+        # A few ids find their texts where these lie; beyond the bound texts are shuffled to them.
+        needed = needed.hint("broadcast" if needed.count() <= BROADCAST_IDS else "merge")
         texts = ids_and_texts(documents).join(needed, F.col("doc_id") == F.col("rep")).select("set_id", "text")
         return durable(confirm(pairs, texts, words, percent))
 
-    named = classes.where("rep is not null")
-    rows = durable(shared_buckets(named))
     links = confirmed(star(rows, percent))
     found = components(links)
     for turn in count():  # each turn but the last joins components
-        more = confirmed(second_chance(rows, found, named, turn, percent))
+        more = confirmed(second_chance(rows, found, near, turn, percent))
         if more.isEmpty():
             break
         links = links.unionByName(more)
         found = components(links)
+    reps = members.agg(F.min("doc_id").alias("rep"))
     found = found.join(reps.withColumnRenamed("set_id", "node"), "node")
     roots = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("set_id"), "component_id")
