@@ -1,4 +1,4 @@
-"""Command line: redact, evaluate, ground-truth."""
+"""Command line: redact, evaluate, ground-truth, serve."""
 
 from __future__ import annotations
 
@@ -24,18 +24,27 @@ def parser() -> argparse.ArgumentParser:
     evaluate.add_argument("--ground-truth", required=True)
     evaluate.add_argument("--report", default="report.md")
     evaluate.add_argument("--tables", help="folder for the result tables as CSV and JSON")
+    evaluate.add_argument("--charts", help="folder for charts as SVG")
     evaluate.add_argument("--char-tolerance", type=int, default=10)
     truth = commands.add_parser("ground-truth", help="candidates for ground truth from detections")
     truth.add_argument("--detections", required=True)
     truth.add_argument("--output", required=True)
+    web = commands.add_parser("serve", help="a web form for single documents")
+    web.add_argument("--host", default="127.0.0.1")
+    web.add_argument("--port", type=int, default=8000)
     return top
 
 
 def main(argv: list[str] | None = None) -> int:
-    from .plans import evaluation, redaction
+    from .operators import score
+    from .plans import charts, evaluation, redaction
     from .sources import records
 
     args = parser().parse_args(argv)
+    if args.command == "serve":
+        from .web import serve
+
+        serve(session(), args.host, args.port).serve_forever()
     given = args.input if args.command == "redact" else args.detections
     if "://" not in given and not os.path.exists(given):
         print(f"no such file: {given}", file=sys.stderr)
@@ -61,6 +70,12 @@ def main(argv: list[str] | None = None) -> int:
         if args.tables:
             records.write_tables(tables, f"{args.tables}/csv")
             records.write_tables(tables, f"{args.tables}/json", "json")
+        if args.charts:
+            os.makedirs(args.charts, exist_ok=True)
+            scored = score.score(detections, truth, args.char_tolerance)
+            for name, chart in charts.charts(scored, tables["distribution"], tables["coverage"]).items():
+                with open(os.path.join(args.charts, f"{name}.svg"), "w", encoding="utf-8") as f:
+                    f.write(chart)
     else:
         records.truth_candidates(records.read_detections(spark, args.detections)).write.mode("overwrite").json(args.output)
     return 0

@@ -119,6 +119,11 @@ DETECTORS = {
 }
 
 
+def register_detector(category: str, detect) -> None:
+    """Add a detector (from the text column to an array of matches) after those that are there."""
+    DETECTORS[category] = detect
+
+
 def detect_structured(text: Column) -> Column:
     """All structured matches of a block, numbered in order of emission; a null block has none."""
     return let(F.coalesce(text, F.lit("")), lambda t: numbered(F.concat(*[detect(t) for detect in DETECTORS.values()])))

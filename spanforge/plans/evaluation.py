@@ -52,3 +52,15 @@ def report(tables: dict[str, DataFrame]) -> str:
         found = tables[name].orderBy("category", "rank")
         lines += [f"- {r.category}: {r.text!r}" for r in (found.where(F.col("rank") <= most) if most else found).collect()] or ["none"]
     return "\n".join(lines) + "\n"
+
+
+def outcome_report(tables: dict[str, DataFrame]) -> str:
+    """A plain-text report: outcomes over all, then each category's errors, up to REPORT_FALSE false ones and all missed."""
+    total = tables["outcomes"].first()
+    lines = ["Outcomes", f"  found and true: {total.tp}", f"  found, not true: {total.fp}", f"  true, not found: {total.fn}", ""]
+    wrong, missed = (tables[n].orderBy("category", "rank").collect() for n in ("false_positives", "false_negatives"))
+    for row in tables["errors"].orderBy("category").collect():
+        lines.append(f"{row.category}: {row.fp} false, {row.fn} missed")
+        lines += [f"  - false: {r.text!r}" for r in wrong if r.category == row.category][:REPORT_FALSE]
+        lines += [f"  - missed: {r.text!r}" for r in missed if r.category == row.category]
+    return "\n".join(lines) + "\n"

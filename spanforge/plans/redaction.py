@@ -52,3 +52,10 @@ def run_redaction(spark: SparkSession, source: str, output: str | None, detectio
         changed = redacted.where(F.size("matches") > 0).select("doc_id", "block_seq", F.col("new_runs").alias("runs"))
         docx.rewrite_docx(docx.files(spark, source), changed).write.format("docx").mode("append").save(output)
     return counts(redacted)
+
+
+def redact_contents(contents: DataFrame, categories: Iterable[str] | None = None, seed: int = SEED) -> DataFrame:
+    """(doc_id, content) of redacted documents from rows (doc_id, content), such as uploads."""
+    redacted = redact_blocks(docx.parse_docx(contents), categories, seed)
+    changed = redacted.where(F.size("matches") > 0).select("doc_id", "block_seq", F.col("new_runs").alias("runs"))
+    return docx.rewrite_docx(contents, changed)

@@ -133,6 +133,11 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of all .docx files under a path."""
+    return parse_docx(files(spark, path))
+
+
+def parse_docx(contents: DataFrame) -> DataFrame:
+    """Blocks of documents (doc_id, content)."""
 
     def run(batches):
         for batch in batches:
@@ -140,7 +145,7 @@ def read_docx(spark: SparkSession, path: str) -> DataFrame:
                 if rows := list(blocks_of(doc_id, content)):
                     yield pa.RecordBatch.from_pylist(rows, schema=_arrow_schema())
 
-    return files(spark, path).mapInArrow(run, BLOCKS)
+    return contents.select("doc_id", "content").mapInArrow(run, BLOCKS)
 
 
 def _arrow_schema() -> pa.Schema:

@@ -85,3 +85,56 @@ def test_streams_equal_batches(spark, tmp_path):
         assert got.count() > 0
     first = spark.read.parquet(str(tmp_path / "of")).where("category = 'EMAIL'")
     assert sorted(r.text for r in first.collect()) == ["a0@x.org", "a1@x.org", "a2@x.org"]
+
+
+def test_web(spark):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from spanforge.web import serve
+
+    server = serve(spark, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    top = f"http://127.0.0.1:{server.server_port}"
+    assert b"<form" in urllib.request.urlopen(f"{top}/").read()
+
+    def post(name, content):
+        body = b'--x\r\nContent-Disposition: form-data; name="file"; filename="' + name + b'"\r\n\r\n' + content + b"\r\n--x--\r\n"
+        return urllib.request.urlopen(urllib.request.Request(f"{top}/redact", body, {"Content-Type": "multipart/form-data; boundary=x"}))
+
+    reply = post(b"a.docx", docx.make_docx([["Mail alice@example.com"]]))
+    assert "redacted_a.docx" in reply.headers["Content-Disposition"]
+    texts = [b["text"] for b in docx.blocks_of("d", reply.read())]
+    assert len(texts) == 1 and "alice" not in texts[0] and texts[0].startswith("Mail ")
+    for name, content, status in ((b"a.txt", b"x", 415), (b"a.docx", b"x", 422)):
+        with pytest.raises(urllib.error.HTTPError) as e:
+            post(name, content)
+        assert e.value.code == status
+    server.shutdown()
+
+
+def test_reports_and_charts(spark):
+    from spanforge.operators import score
+    from spanforge.plans import charts, evaluation
+
+    fields = "id int, text string, category string, para_idx int, start_char int"
+    found = spark.createDataFrame([(1, "a@b.co", "EMAIL", 0, 0), (2, "x", "IP", 0, 0)], fields)
+    truth = spark.createDataFrame([(1, "A@b.co", "EMAIL", 0, 0), (2, "y", "IP", 1, 0)], fields)
+    tables_ = evaluation.evaluate(found, truth)
+    text = evaluation.outcome_report(tables_)
+    assert "found and true: 1" in text and "IP: 1 false, 1 missed" in text and "missed: 'y'" in text
+    made = charts.charts(score.score(found, truth), tables_["distribution"], tables_["coverage"])
+    assert len(made) == 5 and all(c.startswith("<svg") and c.count("<rect") for c in made.values())
+
+
+def test_own_detector(spark):
+    from spanforge.functions.expressions import as_match, spans
+    from spanforge.operators import structured
+
+    structured.register_detector("TICKET", lambda text: F.transform(spans(text, r"TK-\d+"), lambda s: as_match(s, "TICKET", 1.0, "regex")))
+    try:
+        rows = spark.createDataFrame([("see TK-123",)], "text string")
+        assert [m.category for m in collect_matches(rows, entities=None).first().matches] == ["TICKET"]
+    finally:
+        del structured.DETECTORS["TICKET"]
