@@ -28,7 +28,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import ids_and_texts, map_steps, text_bytes
@@ -38,9 +38,9 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
-#: Members of a bucket that texts left apart are held against, and the number of equal bins below which a pair can't be
-#: at 0.8 (77 are expected there, and this is 4.9 standard deviations below).
-CHANCES, LEAST_AGREEMENT = 10, 58
+#: Members of a bucket that texts left apart are held against, how many of them at most are compared by text in a turn,
+#: and the number of equal bins below which they are not (77 are expected at 0.8, and this is 3.3 deviations below).
+CHANCES, CLOSEST, LEAST_AGREEMENT = 10, 16, 64
 #: Ids that may be broadcast (some 40 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -113,22 +113,28 @@ def star(rows: DataFrame, percent: int = 80) -> DataFrame:
 def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, turn: int, percent: int = 80) -> DataFrame:
     """(a, b): further candidates for what the stars left apart.
 
-    In buckets that still hold several components every member is held against `CHANCES` members that a hash of
-    (bucket, turn, chance) picks, so a text in ten shared buckets meets up to a hundred others of its surroundings. Pairs of one
-    component are known, and those whose sketches agree too little go before any text is read.
+    In buckets that hold several components, members outside the largest one are held against `CHANCES` members that a
+    hash of (bucket, turn, chance) picks, so a text in ten shared buckets meets up to a hundred others of its
+    surroundings. Pairs of one component are known. Sketches choose the `CLOSEST` of a text's picks before any text is
+    read, and pairs that agree too little go.
     """
-    rooted = rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    weights = found.groupBy("root").agg(F.count("*").alias("weight"))
+    rooted = rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").join(weights, "root", "left")
+    rooted = rooted.select("bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
     pick = lambda i: F.min(F.struct(F.xxhash64("bucket", "set_id", F.lit(turn), F.lit(i)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("r"), F.col("n_shingles").alias("n")))
     picks = [pick(i).alias(f"c{i}") for i in range(CHANCES)]
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *picks).where("low <> high")
-    pairs = rooted.join(mixed.select("bucket", F.array(*[f"c{i}" for i in range(CHANCES)]).alias("cs")), "bucket")
+    largest = F.max(F.struct("weight", "root"))["root"]
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), largest.alias("main"), *picks).where("low <> high")
+    pairs = rooted.join(mixed.select("bucket", "main", F.array(*[f"c{i}" for i in range(CHANCES)]).alias("cs")), "bucket").where("root <> main")
     pairs = pairs.select("set_id", "root", "n_shingles", F.explode("cs").alias("c"))
     pairs = pairs.where(f"c.r <> root and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
-    pairs = pairs.select(F.greatest("c.a", "set_id").alias("a"), F.least("c.a", "set_id").alias("b")).distinct()
+    pairs = pairs.select("c.a", F.col("set_id").alias("b")).distinct()
     of = lambda side: classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
     agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-    return both.where(agree >= LEAST_AGREEMENT).select("a", "b")
+    close = both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= LEAST_AGREEMENT)
+    order = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
+    return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CLOSEST).select("a", "b")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
