@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import MATCH, SPAN
@@ -63,3 +63,17 @@ def around(text: Column, span: Column, reach: int) -> Column:
     """The span's text with `reach` characters on each side."""
     start = F.greatest(span["start"] - reach, F.lit(0))
     return F.substring(text, start + 1, span["end"] + reach - start)
+
+
+def each(rows: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element of a costly array, as `name` beside the columns `keep`.
+
+    A plain explode would make the optimizer put a test of the array's size below it, and compute the array twice.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def where_computed(rows: DataFrame, test: Column, *columns: Column | str) -> DataFrame:
+    """`columns` of the rows that pass a test on costly columns, without computing these for the test again."""
+    packed = F.when(test, F.struct(*columns))
+    return each(rows, F.array(packed), "r").select("r.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import let, numbered
+from ..functions.expressions import each, let, numbered
 from .address import detect_addresses
 from .entities import detect_companies, detect_persons, propose_entities
 from .resolve import only, resolve
@@ -46,5 +46,5 @@ def exploded(matched: DataFrame, *columns: str) -> DataFrame:
     """One row per match: `columns` of the block and the match's fields."""
     names = {"start": "start_char", "end": "end_char"}
     fields = ("text", "category", "start", "end", "confidence", "needs_review", "detector", "seq")
-    rows = matched.select(*columns, F.explode("matches").alias("m"))
+    rows = each(matched, F.col("matches"), "m", *columns)
     return rows.select(*columns, *[F.col("m")[f].alias(names.get(f, f)) for f in fields])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import each
 from ..schemas import CATEGORIES
 
 #: Characters by which starts may differ, in the short and in the full report.
@@ -56,7 +57,7 @@ def match_pairs(detections: DataFrame, truth: DataFrame, tolerance: int = TOLERA
 
     start = F.struct(F.col("true").cast(kind).alias("free"), F.array().cast(f"array<struct<det_id:{ids},truth_id:{ids}>>").alias("pairs"))
     pairs = F.aggregate("found", start, step, lambda acc: acc["pairs"])
-    return both.select("category", *keys, F.explode(pairs).alias("p")).select("category", *keys, "p.*")
+    return each(both, pairs, "p", "category", *keys).select("category", *keys, "p.*")
 
 
 def true_positives(detections: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.expressions import let, spans
+from ..functions.expressions import each, let, spans
 from ..operators import address, pseudonym, resolve, rewrite, score, structured
 from ..operators.detect import collect_matches, exploded
 from ..operators.entities import propose_entities, validate_company, validate_person
@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def span_rows(rows: DataFrame, found: F.Column, *keys: str) -> DataFrame:
     """One row per span: keys, text, start_char, end_char."""
-    out = rows.select(*keys, F.explode(found).alias("s"))
+    out = each(rows, found, "s", *keys)
     return out.select(*keys, F.col("s.text").alias("found"), F.col("s.start").cast("long").alias("start_char"), F.col("s.end").cast("long").alias("end_char"))
 
 
@@ -65,7 +65,7 @@ def conversation_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def block_prefix_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = tables.run_blocks(table(spark, sf_dir, "documents"), "doc_id")
-    runs = blocks.select("doc_id", F.explode("runs").alias("r"))
+    runs = each(blocks, F.col("runs"), "r", "doc_id")
     return runs.select("doc_id", F.col("r.idx").cast("long").alias("run_idx"), F.col("r.start").cast("long").alias("start_char"), F.length("r.text").cast("long").alias("n_chars"))
 
 
@@ -147,7 +147,7 @@ def ssn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ssn_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ssn_texts(spark, sf_dir).select(F.explode(structured.detect_ssns(F.col("text"))).alias("m"))
+    rows = each(ssn_texts(spark, sf_dir), structured.detect_ssns(F.col("text")), "m")
     return rows.groupBy(F.col("m.confidence").alias("confidence")).agg(F.count("*").alias("n"))
 
 
@@ -174,7 +174,7 @@ def dob_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def structured_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All structured detectors at once, before resolution."""
-    rows = table(spark, sf_dir, "documents").select("lang", F.explode(structured.detect_structured(F.col("text"))).alias("m"))
+    rows = each(table(spark, sf_dir, "documents"), structured.detect_structured(F.col("text")), "m", "lang")
     return rows.groupBy("lang", F.col("m.category").alias("category")).agg(F.count("*").alias("n"))
 
 
@@ -203,7 +203,7 @@ def company_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.explode(propose_entities(F.col("text"))).alias("e"))
+    rows = each(table(spark, sf_dir, "documents"), propose_entities(F.col("text")), "e")
     return rows.groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"), F.sum(F.length("e.text")).cast("long").alias("n_chars"))
 
 
@@ -220,7 +220,7 @@ def address_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def address_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = let(address.address_signals(F.col("text")), address.clusters)
-    rows = address_texts(spark, sf_dir).select("s_suppkey", F.explode(found).alias("c"))
+    rows = each(address_texts(spark, sf_dir), found, "c", "s_suppkey")
     return rows.select("s_suppkey", F.col("c.start").cast("long").alias("start_char"), F.col("c.end").cast("long").alias("end_char"), F.bit_count("c.kinds").cast("long").alias("n_kinds"))
 
 

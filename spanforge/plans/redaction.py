@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import where_computed
 from ..operators.detect import EntitySource, collect_matches, exploded
 from ..operators.entities import propose_entities
 from ..operators.pseudonym import REFERENCE_DATE, SEED, with_fakes
@@ -34,6 +35,11 @@ def redact_blocks(blocks: DataFrame, categories: Iterable[str] | None = None, se
     return out
 
 
+def changed_blocks(redacted: DataFrame) -> DataFrame:
+    """(doc_id, block_seq, runs) of blocks with matches."""
+    return where_computed(redacted, F.size("matches") > 0, "doc_id", "block_seq", F.col("new_runs").alias("runs"))
+
+
 def counts(matched: DataFrame) -> DataFrame:
     """Occurrences per category, in order of category."""
     return exploded(matched).groupBy("category").agg(F.count("*").alias("n")).orderBy("category")
@@ -42,20 +48,18 @@ def counts(matched: DataFrame) -> DataFrame:
 def run_redaction(spark: SparkSession, source: str, output: str | None, detections: str | None, categories: Iterable[str] | None = None, seed: int = SEED, dry_run: bool = False) -> DataFrame:
     """Redact all .docx files under `source` into the folder `output`; detections are written in any case.
 
-    Returns the counts per category. The matched blocks are computed once for each of the outputs.
+    Returns the counts per category. The matched blocks serve all outputs, so they are kept while there is room.
     """
-    redacted = redact_blocks(docx.read_docx(spark, source), categories, seed)
+    redacted = redact_blocks(docx.read_docx(spark, source), categories, seed).persist()
     if detections:
         records.write_detections(records.detection_records(exploded(redacted, "location", "runs")), detections)
     if not dry_run:
         spark.dataSource.register(docx.DocxSource)
-        changed = redacted.where(F.size("matches") > 0).select("doc_id", "block_seq", F.col("new_runs").alias("runs"))
-        docx.rewrite_docx(docx.files(spark, source), changed).write.format("docx").mode("append").save(output)
+        docx.rewrite_docx(docx.files(spark, source), changed_blocks(redacted)).write.format("docx").mode("append").save(output)
     return counts(redacted)
 
 
 def redact_contents(contents: DataFrame, categories: Iterable[str] | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, content) of redacted documents from rows (doc_id, content), such as uploads."""
     redacted = redact_blocks(docx.parse_docx(contents), categories, seed)
-    changed = redacted.where(F.size("matches") > 0).select("doc_id", "block_seq", F.col("new_runs").alias("runs"))
-    return docx.rewrite_docx(contents, changed)
+    return docx.rewrite_docx(contents, changed_blocks(redacted))
