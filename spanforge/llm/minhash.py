@@ -38,9 +38,11 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
-#: Members of a bucket that texts left apart are held against, how many of them at most are compared by text in a turn,
-#: and the number of equal bins below which they are not (77 are expected at 0.8, and this is 3.3 deviations below).
-CHANCES, CLOSEST, LEAST_AGREEMENT = 10, 16, 64
+#: Neighbours on either side that texts left apart are held against, and how many at most are compared by text in a turn.
+CHANCES, CLOSEST = 5, 16
+#: The number of equal bins below which a pair is left (77 are expected at 0.8, and this is 3.3 deviations below), and the
+#: number of different ones among the 32 of the brief sketch above which it is (6 are expected, 4 deviations below).
+LEAST_AGREEMENT, MOST_DIFFERENT = 64, 15
 #: Ids that may be broadcast (some 40 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -110,31 +112,39 @@ def star(rows: DataFrame, percent: int = 80) -> DataFrame:
     return near.select("c.a", "b").distinct()
 
 
+def brief() -> list[F.Column]:
+    """The low four bits of the first 32 bins as two longs, which a candidate can carry along."""
+    nibbles = lambda at: F.aggregate(F.slice("sketch", at, 16), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 4).bitwiseOR(x.bitwiseAND(15).cast("long")))
+    return [nibbles(1).alias("m1"), nibbles(17).alias("m2")]
+
+
 def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, turn: int, percent: int = 80) -> DataFrame:
     """(a, b): further candidates for what the stars left apart.
 
-    In buckets that hold several components, members outside the largest one are held against `CHANCES` members that a
-    hash of (bucket, turn, chance) picks, so a text in ten shared buckets meets up to a hundred others of its
-    surroundings. Pairs of one component are known. Sketches choose the `CLOSEST` of a text's picks before any text is
-    read, and pairs that agree too little go.
+    In buckets that hold several components the members stand in the order of a hash of (bucket, turn, member), and
+    those outside the largest component are held against their `CHANCES` neighbours on either side. So a text in ten
+    shared buckets meets up to a hundred others of its surroundings. Pairs of one component are known. Four bits of 32
+    bins sort out most of the others, whole sketches choose the `CLOSEST` of what remains, and pairs that agree too
+    little go before any text is read.
     """
     weights = found.groupBy("root").agg(F.count("*").alias("weight"))
     rooted = rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").join(weights, "root", "left")
     rooted = rooted.select("bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    pick = lambda i: F.min(F.struct(F.xxhash64("bucket", "set_id", F.lit(turn), F.lit(i)).alias("h"), F.col("set_id").alias("a"), F.col("root").alias("r"), F.col("n_shingles").alias("n")))
-    picks = [pick(i).alias(f"c{i}") for i in range(CHANCES)]
-    largest = F.max(F.struct("weight", "root"))["root"]
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), largest.alias("main"), *picks).where("low <> high")
-    pairs = rooted.join(mixed.select("bucket", "main", F.array(*[f"c{i}" for i in range(CHANCES)]).alias("cs")), "bucket").where("root <> main")
-    pairs = pairs.select("set_id", "root", "n_shingles", F.explode("cs").alias("c"))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root"))["root"].alias("main")).where("low <> high")
+    rooted = rooted.join(mixed.select("bucket", "main"), "bucket").join(classes.select("set_id", *brief()), "set_id")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "set_id", F.lit(turn)), "set_id")
+    me = F.struct(F.col("set_id").alias("a"), F.col("root").alias("r"), F.col("n_shingles").alias("n"), "m1", "m2")
+    beside = F.array(*[f(me, k).over(order) for k in range(1, CHANCES + 1) for f in (F.lead, F.lag)])
+    pairs = rooted.withColumn("beside", beside).where("root <> main").select("set_id", "root", "n_shingles", "m1", "m2", F.explode("beside").alias("c"))
+    differ = lambda m: F.expr(f"bit_count((c.{m} ^ {m} | shiftright(c.{m} ^ {m}, 1) | shiftright(c.{m} ^ {m}, 2) | shiftright(c.{m} ^ {m}, 3)) & 1229782938247303441L)")
     pairs = pairs.where(f"c.r <> root and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
-    pairs = pairs.select("c.a", F.col("set_id").alias("b")).distinct()
+    pairs = pairs.where(differ("m1") + differ("m2") <= MOST_DIFFERENT).select("c.a", F.col("set_id").alias("b")).distinct()
     of = lambda side: classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
     close = both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= LEAST_AGREEMENT)
-    order = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    return close.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CLOSEST).select("a", "b")
+    closest = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
+    return close.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= CLOSEST).select("a", "b")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
