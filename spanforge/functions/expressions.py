@@ -23,21 +23,30 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def spans(text: Column, pattern: str, hint: Column | None = None) -> Column:
+#: Characters before a match that `spans` gives on request, from the pieces of text that it has cut anyway.
+BEFORE = 120
+
+
+def spans(text: Column, pattern: str, hint: Column | None = None, before: bool = False) -> Column:
     """All leftmost non-overlapping matches of a Java pattern as array<struct<text,start,end>>, in code points.
 
-    The pattern must not refer back to groups. `hint`: a cheap test without which there can be no match.
+    The pattern must not refer back to groups. `hint`: a cheap test without which there can be no match. `before`: adds
+    the field before, text in front of the match (not more than BEFORE characters, nor than the match before and what
+    surrounds it), so that nothing has to be cut from a long text once for each match.
     """
 
     def cut(parts: Column) -> Column:
         ends = F.aggregate(parts, F.array(F.lit(0)), lambda ends, part: F.array_append(ends, F.element_at(ends, -1) + F.length(part)))
-        pick = lambda at: lambda i: F.struct(F.get(parts, i).alias("text"), F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"))
+        ahead = lambda i: F.array_join(F.slice(parts, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), "")
+        front = lambda i: [F.right(ahead(i), F.lit(BEFORE)).alias("before")] if before else []
+        pick = lambda at: lambda i: F.struct(F.get(parts, i).alias("text"), F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), *front(i))
         return let(ends, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), pick(at)))
 
+    kind = SPAN[:-1] + ",before:string>" if before else SPAN
     marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, STAND_INS), f"({pattern})", f"{OPEN}$1{CLOSE}")
-    found = let(F.split(marked, f"[{OPEN}{CLOSE}]"), lambda parts: F.when(F.size(parts) > 1, cut(parts)).otherwise(empty(SPAN)))
+    found = let(F.split(marked, f"[{OPEN}{CLOSE}]"), lambda parts: F.when(F.size(parts) > 1, cut(parts)).otherwise(empty(kind)))
     test = F.regexp_like(text, F.lit(pattern)) if hint is None else hint
-    return F.when(test, found).otherwise(empty(SPAN))
+    return F.when(test, found).otherwise(empty(kind))
 
 
 def as_match(span: Column, category: Column | str, confidence: Column | float, detector: str, needs_review: Column | bool = False) -> Column:

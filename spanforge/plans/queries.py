@@ -203,7 +203,7 @@ def company_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def entity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = each(table(spark, sf_dir, "documents"), propose_entities(F.col("text")), "e")
+    rows = each(tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), propose_entities(F.col("text")), "e")
     return rows.groupBy(F.col("e.label").alias("label")).agg(F.count("*").alias("n"), F.sum(F.length("e.text")).cast("long").alias("n_chars"))
 
 
@@ -259,7 +259,7 @@ def category_filter_after_resolve(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def structured_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved matches of the structured detectors, with the document's language."""
-    blocks = tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    blocks = tables.spread(tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"), "doc_id")
     found = blocks.withColumn("matches", resolve.resolve(structured.detect_structured(F.col("text"))))
     return exploded(found, "doc_id", "lang")
 
@@ -289,7 +289,7 @@ def quality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every detector with the built-in source of entities, resolved."""
-    blocks = tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id")
+    blocks = tables.spread(tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
     return exploded(collect_matches(blocks)).groupBy("category", "detector", "needs_review").agg(F.count("*").alias("n"))
 
 
@@ -338,7 +338,7 @@ def redacted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain over documents."""
-    blocks = tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id")
+    blocks = tables.spread(tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
     out = redact_blocks(blocks)
     return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.length("new_text").cast("long").alias("n_chars"), F.md5(F.col("new_text").cast("binary")).alias("new_md5"))
 
