@@ -10,8 +10,8 @@
    fails against it is held against the smallest member as well.
 4. Candidates are confirmed on the full sets, and links become components.
 
-5. Where a bucket still holds several components, its members get further centres, picked by hashes; sketches sort most
-   of these pairs out before texts are read. Turns of this go on until one joins nothing.
+5. Where a bucket still holds several groups, members outside the largest one get further partners, picked by hashes;
+   sketches sort most of these pairs out before texts are read.
 
 A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6. A link can be missed only if in no
 shared bucket either text is a centre or a pick of the other, and no third text connects them.
@@ -24,7 +24,6 @@ or null and kept where only null ids have that set; other columns are ignored; a
 from __future__ import annotations
 
 import hashlib
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
-#: Neighbours on either side that texts left apart are held against, and how many at most are compared by text in a turn.
+#: Neighbours on either side that texts left apart are held against, and how many of these at most are compared by text.
 CHANCES, CLOSEST = 5, 16
 #: The number of equal bins below which a pair is left (77 are expected at 0.8, and this is 3.3 deviations below), and the
 #: number of different ones among the 32 of the brief sketch above which it is (6 are expected, 4 deviations below).
@@ -112,18 +111,28 @@ def star(rows: DataFrame, percent: int = 80) -> DataFrame:
     return near.select("c.a", "b").distinct()
 
 
+def hubs(links: DataFrame) -> DataFrame:
+    """(node, root): the member of most links among a node's neighbours and itself. Around a star's centre that is the
+    component, without the rounds that exact components take."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = both.groupBy("a").agg(F.count("*").alias("n"))
+    ranked = both.join(degrees.select(F.col("a").alias("b"), F.struct("n", F.col("a").alias("root")).alias("hub")), "b").select("a", "hub")
+    own = degrees.select("a", F.struct("n", F.col("a").alias("root")).alias("hub"))
+    return ranked.unionByName(own).groupBy("a").agg(F.max("hub")["root"].alias("root")).withColumnRenamed("a", "node")
+
+
 def brief() -> list[F.Column]:
     """The low four bits of the first 32 bins as two longs, which a candidate can carry along."""
     nibbles = lambda at: F.aggregate(F.slice("sketch", at, 16), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 4).bitwiseOR(x.bitwiseAND(15).cast("long")))
     return [nibbles(1).alias("m1"), nibbles(17).alias("m2")]
 
 
-def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, turn: int, percent: int = 80) -> DataFrame:
+def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
     """(a, b): further candidates for what the stars left apart.
 
-    In buckets that hold several components the members stand in the order of a hash of (bucket, turn, member), and
-    those outside the largest component are held against their `CHANCES` neighbours on either side. So a text in ten
-    shared buckets meets up to a hundred others of its surroundings. Pairs of one component are known. Four bits of 32
+    In buckets that hold several groups (node, root) the members stand in the order of a hash of (bucket, member), and
+    those outside the largest group are held against their `CHANCES` neighbours on either side. So a text in ten
+    shared buckets meets up to a hundred others of its surroundings. Pairs of one group are known. Four bits of 32
     bins sort out most of the others, whole sketches choose the `CLOSEST` of what remains, and pairs that agree too
     little go before any text is read.
     """
@@ -132,7 +141,7 @@ def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, turn: i
     rooted = rooted.select("bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root"))["root"].alias("main")).where("low <> high")
     rooted = rooted.join(mixed.select("bucket", "main"), "bucket").join(classes.select("set_id", *brief()), "set_id")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "set_id", F.lit(turn)), "set_id")
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "set_id"), "set_id")
     me = F.struct(F.col("set_id").alias("a"), F.col("root").alias("r"), F.col("n_shingles").alias("n"), "m1", "m2")
     beside = F.array(*[f(me, k).over(order) for k in range(1, CHANCES + 1) for f in (F.lead, F.lag)])
     pairs = rooted.withColumn("beside", beside).where("root <> main").select("set_id", "root", "n_shingles", "m1", "m2", F.explode("beside").alias("c"))
@@ -191,13 +200,8 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
         return durable(confirm(pairs, texts, words, percent))
 
     links = confirmed(star(rows, percent))
+    links = links.unionByName(confirmed(second_chance(rows, hubs(links), near, percent)))
     found = components(links)
-    for turn in count():  # each turn but the last joins components
-        more = confirmed(second_chance(rows, found, near, turn, percent))
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = components(links)
     reps = members.agg(F.min("doc_id").alias("rep"))
     found = found.join(reps.withColumnRenamed("set_id", "node"), "node")
     roots = found.groupBy("root").agg(F.min("rep").alias("component_id"))
