@@ -1,10 +1,15 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both models share one vocabulary of `WORDS` word buckets, one table shape, one order (bigrams over unigrams) and one
-smoothing, so that a token's two losses differ by what the corpora hold and by nothing else. Words are hashed to
-buckets and bigrams to `PAIRS` buckets, which bounds what the driver gathers and broadcasts at any input (a bigram
-shares its bucket's count, so bigram mass is an upper estimate). Counts cover every word of every document: a task
-adds up its own and sends one row for each bucket that it met, and the rows are summed by bucket.
+Both models share one vocabulary (all words met, and room for `WORDS` at least), one order (bigrams over unigrams) and
+one smoothing, so that a token's two losses differ by what the corpora hold and by nothing else. Words, histories and
+pairs are known by 64-bit hashes and counted one by one; no table is bounded and none comes to the driver:
+
+1. A map pass cuts the documents into chunks of some `CHUNK` tokens and packs each chunk's distinct keys, with their
+   counts in the chunk, by ranges of the key. A hot key is one entry of a chunk, and the number of ranges grows with the
+   text, so that a range stays of bounded size.
+2. Each range adds up its keys over all chunks and answers every chunk with the sums, in the order of the chunk's keys.
+   These answers go to the checkpoint folder.
+3. A chunk meets its answers and scores its documents.
 
 A document's score is the mean over its words of target loss minus background loss, in nats; low means like the target.
 
@@ -15,94 +20,190 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_steps, steps, text_bytes
-from .shingles import mix, word_hashes
+from .arrow import ids_and_texts, steps, text_bytes
+from .durable import durable
+from .shingles import FIRST, SECOND, mix, word_hashes
 
-WORDS, PAIRS = 1 << 16, 1 << 18
+#: The least size of the vocabulary that smoothing leaves room for; beyond it, the number of distinct words counts.
+WORDS = 1 << 16
 #: Added to each word's count, and the weight of the unigram in a bigram's estimate.
 ADDED, BACKOFF = 0.1, 8.0
+#: The history at a text's start.
+START = np.uint64(0)
+#: Tokens of a chunk, the least number of key ranges, and the bytes of all texts for each range.
+CHUNK, RANGES, RANGE_BYTES = 1 << 20, 512, 16 << 20
+KINDS = 3
 
+PACKED = "chunk long, part long, keys binary, target binary, every binary, met long, n_target long, n_every long"
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
-def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, history, pair, before): buckets of each word, of the word before it (WORDS at a text's start), of both
-    together, and the number of words before each text."""
-    hashes, before = word_hashes(raw, at)
-    word = (hashes % np.uint64(WORDS)).astype(np.intp)
+
+def chain(word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(history, pair) of each word; `before` is the number of words before each text."""
     history = np.empty_like(word)
     history[1:] = word[:-1]
-    first = before[:-1][np.diff(before) > 0]
-    history[first] = WORDS
-    pair = (mix(word.astype(np.uint64) * np.uint64(WORDS + 1) + history.astype(np.uint64)) % np.uint64(PAIRS)).astype(np.intp)
-    return word, history, pair, before
-
-
-@dataclass
-class Counts:
-    """Counts of words, histories and pairs in one corpus."""
-
-    word: np.ndarray
-    history: np.ndarray
-    pair: np.ndarray
+    history[before[:-1][np.diff(before) > 0]] = START
+    return history, mix(history * FIRST + (word ^ SECOND) * SECOND)
 
-    def losses(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """Loss of each token in nats."""
-        alone = (self.word + ADDED) / (self.word.sum() + ADDED * WORDS)
-        return -np.log((self.pair[pair] + BACKOFF * alone[word]) / (self.history[history] + BACKOFF))
 
-
-SIZES = (WORDS, WORDS + 1, PAIRS)
-
-
-def count(flagged: DataFrame) -> tuple[Counts, Counts]:
-    """(target, background) counts of the rows (is_target, text)."""
+def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word, history, pair, before): 64-bit hashes of each word, of the word before it (START at a text's start), of
+    both together, and the number of words before each text."""
+    word, before = word_hashes(raw, at)
+    return word, *chain(word, before), before
+
+
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, bytes of one weight side by side, compressed."""
+    values = np.ascontiguousarray(values, np.uint64)
+    planes = values.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(values).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
+    planes = pa.decompress(packed[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+
+
+def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["chunk", "part", "keys", "target", "every", "met", "n_target", "n_every"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def chunk_rows(place: str, ids: pa.Array, flags: np.ndarray, word: np.ndarray, before: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """One row with the chunk's documents (part below 0), and one for each kind of key and range."""
+    n = np.diff(before)
+    words, code = np.unique(word, return_inverse=True)
+    known = pack(np.asarray(ids.is_valid()).astype(np.uint64))
+    names = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    documents = [pack(n), known, names, pack(words), pack(code)]
+    chunk = int.from_bytes(hashlib.blake2b(place.encode() + b"".join(documents), digest_size=8).digest(), "little", signed=True)
+    joined = b"".join(len(d).to_bytes(8, "little") + d for d in documents)
+    rows = [(chunk, -1 - (chunk & (1 << 62) - 1), joined, None, None, 0, 0, 0)]
+    wanted = np.repeat(flags, n)
+    for kind, keys in enumerate((word, *chain(word, before))):
+        distinct, which = np.unique(keys, return_inverse=True)
+        every = np.bincount(which, minlength=len(distinct))
+        target = np.bincount(which[wanted], minlength=len(distinct))
+        part = ((distinct >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        cuts = [*np.flatnonzero(np.diff(part, prepend=np.uint64(ranges))).tolist(), len(distinct)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            steps_up = np.diff(distinct[a:b], prepend=np.uint64(0))
+            rows.append((chunk, kind * ranges + int(part[a]), pack(steps_up), pack(target[a:b]), pack(every[a:b]), 0, 0, 0))
+    return packed_rows(rows)
+
+
+def chunks(flagged: DataFrame, ranges: int) -> DataFrame:
+    """PACKED rows of all documents (doc_id, text, is_target)."""
 
     def run(batches):
-        total = [np.zeros((n, 2), np.int64) for n in SIZES]
-        for part in steps(batches):
-            word, history, pair, before = tokens(*text_bytes(part.column(1)))
-            wanted = np.repeat(np.asarray(part.column(0).to_pylist(), bool), np.diff(before))
-            for table, ids in zip(total, (word, history, pair), strict=True):
-                table[:, 1] += np.bincount(ids, minlength=len(table))
-                table[:, 0] += np.bincount(ids[wanted], minlength=len(table))
-        whole = np.concatenate(total)
-        met = np.flatnonzero(whole[:, 1])
-        if len(met):
-            yield pa.RecordBatch.from_arrays([pa.array(met.astype(np.int32)), pa.array(whole[met, 0]), pa.array(whole[met, 1])], names=["bucket", "target", "every"])
-
-    rows = flagged.select("is_target", "text").mapInArrow(run, "bucket int, target long, every long")
-    sums = rows.groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("every").alias("every")).toPandas()
-    whole = np.zeros((sum(SIZES), 2))
-    whole[sums.bucket.to_numpy()] = sums[["target", "every"]].to_numpy()
-    cuts = np.cumsum(SIZES)[:-1]
-    return Counts(*np.split(whole[:, 0], cuts)), Counts(*np.split(whole[:, 1], cuts))
+        at, held, size = 0, [], 0
 
+        def whole():
+            ids = pa.concat_arrays([h[0] for h in held])
+            flags, word, n = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+            return chunk_rows(f"{TaskContext.get().partitionId()} {at}", ids, flags, word, np.concatenate([[0], np.cumsum(n)]), ranges)
 
-def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score); target_ids: (doc_id) of the target corpus."""
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
-    # Ids have no size bound, so the flag comes by a shuffle join at any size; a broadcast would only suit small tables.
-    flagged = rows.join(wanted.hint("merge"), "doc_id", "left").select(F.coalesce("is_target", F.lit(False)).alias("is_target"), "text")
-    models = documents.sparkSession.sparkContext.broadcast(count(flagged))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        word, history, pair, before = tokens(*text_bytes(batch.column(1)))
-        n = np.diff(before)
+        for part in steps(batches):
+            word, before = word_hashes(*text_bytes(part.column(1)))
+            held.append((part.column(0), np.asarray(part.column(2).to_pylist(), bool), word, np.diff(before)))
+            size += len(word) + part.num_rows
+            if size >= CHUNK:
+                yield whole()
+                at, held, size = at + 1, [], 0
+        if held:
+            yield whole()
+
+    return flagged.select("doc_id", "text", "is_target").mapInArrow(run, PACKED)
+
+
+def summed(packed: DataFrame, ranges: int) -> DataFrame:
+    """PACKED rows with the sums over all chunks in place of a chunk's own counts, and without keys. In the first row of
+    a range of words stand the number of distinct ones and their counts; documents pass."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        if part < 0:
+            return table
+        keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = []
+        for name in ("target", "every"):
+            mine = np.concatenate([unpack(v) for v in table.column(name).to_pylist()])
+            sums.append(np.bincount(which, mine, len(distinct)).astype(np.uint64))
+        ends = np.cumsum([0, *map(len, keys)])
+        totals = (len(distinct), int(sums[0].sum()), int(sums[1].sum())) if part < ranges else (0, 0, 0)
+        rows = []
+        for row, chunk in enumerate(table.column("chunk").to_pylist()):
+            mine = which[ends[row] : ends[row + 1]]
+            rows.append((chunk, part, None, pack(sums[0][mine]), pack(sums[1][mine]), *(totals if not row else (0, 0, 0))))
+        return pa.Table.from_batches([packed_rows(rows)])
+
+    return packed.groupBy("part").applyInArrow(run, PACKED)
+
+
+def scored(answers: DataFrame, ranges: int) -> DataFrame:
+    """SCORED rows of the documents in `answers` (PACKED, summed)."""
+    total = answers.agg(F.sum("met").alias("met"), F.sum("n_target").alias("target"), F.sum("n_every").alias("every")).first()
+    vocabulary, sizes = max(WORDS, total.met or 0), {"target": total.target, "every": total.every}
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = table.column("part").to_numpy()
+        order = np.argsort(parts)
+        joined, documents = table.column("keys")[int(order[0])].as_py(), []
+        while joined:
+            end = 8 + int.from_bytes(joined[:8], "little")
+            documents.append(unpack(joined[8:end]))
+            joined = joined[end:]
+        n, known, names, words, code = documents
+        before = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
+        word = words[code.astype(np.intp)]
+        sizes_of, which = [], []
+        for keys in (word, *chain(word, before)):
+            distinct, place = np.unique(keys, return_inverse=True)
+            which.append(place)
+            sizes_of.append(len(distinct))
         some = n > 0
         means = []
-        for model in models.value:
+        for name, size in sizes.items():
+            column = table.column(name)
+            counts = []
+            for kind in range(KINDS):
+                mine = [unpack(column[int(i)].as_py()) for i in order if parts[i] >= 0 and parts[i] // ranges == kind]
+                counts.append(np.concatenate([np.zeros(0, np.uint64), *mine]).astype(np.float64))
+            if list(map(len, counts)) != sizes_of:
+                raise ValueError("a chunk lacks counts of its words")
+            one, history, two = (c[w] for c, w in zip(counts, which, strict=True))
+            loss = -np.log((two + BACKOFF * (one + ADDED) / ((size or 0) + ADDED * vocabulary)) / (history + BACKOFF))
             mean = np.full(len(n), np.nan)
             if some.any():
-                mean[some] = np.add.reduceat(model.losses(word, history, pair), before[:-1][some]) / n[some]
+                mean[some] = np.add.reduceat(loss, before[:-1][some]) / n[some]
             means.append(mean)
         columns = [*means, means[0] - means[1]]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), *[pa.array(c, mask=~some) for c in columns]], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        ids = pa.array(names.view(np.int64), mask=known == 0)
+        return pa.table([ids, pa.array(n.astype(np.int64)), *[pa.array(c, mask=~some) for c in columns]], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    return answers.groupBy("chunk").applyInArrow(run, SCORED)
 
-    return map_steps(rows, step, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score); target_ids: (doc_id) of the target corpus."""
+    rows = ids_and_texts(documents)
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
+    # Ids have no size bound, so the flag comes by a shuffle join at any size; a broadcast would only suit small tables.
+    flagged = rows.join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    ranges = max(RANGES, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
+    return scored(durable(summed(chunks(flagged, ranges), ranges)), ranges)

@@ -249,6 +249,30 @@ def test_lm_scores(spark, awkward, nothing):
     assert lm_scoring.score(nothing, ids).count() == 0
 
 
+def test_lm_counts_are_exact_beyond_any_bucket(spark):
+    """More words than the vocabulary's least size, counted as strings."""
+    draw = random.Random(11)
+    docs = [(i, " ".join([f"w{draw.randrange(i * 1000, i * 1000 + 1100)} common" for _ in range(1000)])) for i in range(120)]
+    docs = [(i, t + " " + " ".join(f"u{i}x{k}" for k in range(600))) for i, t in docs]
+    wanted = set(range(0, 120, 3))
+    vocabulary = len({w for _, t in docs for w in words(t)})
+    assert vocabulary > lm_scoring.WORDS
+    models = []
+    for corpus in ([t for i, t in docs if i in wanted], [t for _, t in docs]):
+        cut = [words(t) for t in corpus]
+        two = Counter(p for w in cut for p in zip([None, *w], w, strict=False))
+        one, before = Counter(w for c in cut for w in c), Counter()
+        for (h, _), n in two.items():
+            before[h] += n
+        models.append((one, before, two, sum(one.values())))
+    ids = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    got = {r.doc_id: r for r in lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), ids).collect()}
+    for i, t in docs:
+        w = words(t)
+        means = [np.mean([-np.log((two[h, c] + 8 * (one[c] + 0.1) / (n + 0.1 * vocabulary)) / (before[h] + 8)) for h, c in zip([None, *w], w, strict=False)]) for one, before, two, n in models]
+        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*means, means[0] - means[1]], rtol=1e-9)
+
+
 def brute_top(vectors, k):
     usable = []
     for n, (i, v) in enumerate(vectors):
