@@ -10,11 +10,11 @@
    fails against it is held against the smallest member as well.
 4. Candidates are confirmed on the full sets, and links become components.
 
-5. Where a bucket still holds several groups, members outside the largest one get further partners, picked by hashes;
-   sketches sort most of these pairs out before texts are read.
+5. Where a bucket still holds several components, members outside the largest one are held against all others, block by
+   block; sketches sort most of these pairs out before texts are read.
 
-A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6. A link can be missed only if in no
-shared bucket either text is a centre or a pick of the other, and no third text connects them.
+A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6, and agrees in too few bins with 1e-6;
+other links are not missed.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and keeps its own id; rows with one
 doc_id are rows of their own and each gets its class's answer; a null doc_id gets the answer of rows with an equal set,
@@ -37,11 +37,10 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
-#: Neighbours on either side that texts left apart are held against, and how many of these at most are compared by text.
-CHANCES, CLOSEST = 5, 16
-#: The number of equal bins below which a pair is left (77 are expected at 0.8, and this is 3.3 deviations below), and the
-#: number of different ones among the 32 of the brief sketch above which it is (6 are expected, 4 deviations below).
-LEAST_AGREEMENT, MOST_DIFFERENT = 64, 15
+#: Members of a mixed bucket that are held in one block.
+BLOCK = 512
+#: The number of equal bins below which a pair is left (77 are expected at 0.8, and this is 4.9 deviations below).
+LEAST_AGREEMENT = 58
 #: Ids that may be broadcast (some 40 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -111,49 +110,64 @@ def star(rows: DataFrame, percent: int = 80) -> DataFrame:
     return near.select("c.a", "b").distinct()
 
 
-def hubs(links: DataFrame) -> DataFrame:
-    """(node, root): the member of most links among a node's neighbours and itself. Around a star's centre that is the
-    component, without the rounds that exact components take."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degrees = both.groupBy("a").agg(F.count("*").alias("n"))
-    ranked = both.join(degrees.select(F.col("a").alias("b"), F.struct("n", F.col("a").alias("root")).alias("hub")), "b").select("a", "hub")
-    own = degrees.select("a", F.struct("n", F.col("a").alias("root")).alias("hub"))
-    return ranked.unionByName(own).groupBy("a").agg(F.max("hub")["root"].alias("root")).withColumnRenamed("a", "node")
+def marks() -> F.Column:
+    """The low byte of each bin, which a candidate can carry along; equal bins have equal marks."""
+    return F.transform("sketch", lambda x: (x.bitwiseAND(255) - 128).cast("byte"))
 
 
-def brief() -> list[F.Column]:
-    """The low four bits of the first 32 bins as two longs, which a candidate can carry along."""
-    nibbles = lambda at: F.aggregate(F.slice("sketch", at, 16), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 4).bitwiseOR(x.bitwiseAND(15).cast("long")))
-    return [nibbles(1).alias("m1"), nibbles(17).alias("m2")]
+def rest(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): all further candidates, for what the stars left apart.
 
-
-def second_chance(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b): further candidates for what the stars left apart.
-
-    In buckets that hold several groups (node, root) the members stand in the order of a hash of (bucket, member), and
-    those outside the largest group are held against their `CHANCES` neighbours on either side. So a text in ten
-    shared buckets meets up to a hundred others of its surroundings. Pairs of one group are known. Four bits of 32
-    bins sort out most of the others, whole sketches choose the `CLOSEST` of what remains, and pairs that agree too
-    little go before any text is read.
+    In buckets that hold several components (node, root) every member outside the largest one is held against every
+    member of another component, so that after these candidates no bucket hides a link. A bucket is cut into blocks of
+    about `BLOCK` members by a hash, and a block of those outside meets each block of all members in a row group of its
+    own. Pairs with fewer than `LEAST_AGREEMENT` equal marks go before any text is read.
     """
     weights = found.groupBy("root").agg(F.count("*").alias("weight"))
     rooted = rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").join(weights, "root", "left")
-    rooted = rooted.select("bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.struct("weight", "root"))["root"].alias("main")).where("low <> high")
-    rooted = rooted.join(mixed.select("bucket", "main"), "bucket").join(classes.select("set_id", *brief()), "set_id")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "set_id"), "set_id")
-    me = F.struct(F.col("set_id").alias("a"), F.col("root").alias("r"), F.col("n_shingles").alias("n"), "m1", "m2")
-    beside = F.array(*[f(me, k).over(order) for k in range(1, CHANCES + 1) for f in (F.lead, F.lag)])
-    pairs = rooted.withColumn("beside", beside).where("root <> main").select("set_id", "root", "n_shingles", "m1", "m2", F.explode("beside").alias("c"))
-    differ = lambda m: F.expr(f"bit_count((c.{m} ^ {m} | shiftright(c.{m} ^ {m}, 1) | shiftright(c.{m} ^ {m}, 2) | shiftright(c.{m} ^ {m}, 3)) & 1229782938247303441L)")
-    pairs = pairs.where(f"c.r <> root and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
-    pairs = pairs.where(differ("m1") + differ("m2") <= MOST_DIFFERENT).select("c.a", F.col("set_id").alias("b")).distinct()
-    of = lambda side: classes.select(F.col("set_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    agree = F.size(F.filter(F.zip_with("sketch_a", "sketch_b", lambda x, y: x == y), lambda same: same))
-    close = both.select("a", "b", agree.alias("agree")).where(F.col("agree") >= LEAST_AGREEMENT)
-    closest = Window.partitionBy("b").orderBy(F.desc("agree"), "a")
-    return close.withColumn("rank", F.row_number().over(closest)).where(F.col("rank") <= CLOSEST).select("a", "b")
+    rooted = durable(rooted.select("bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight")))
+    groups = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).groupBy("bucket")
+    mixed = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max(F.struct("weight", "root", "n")).alias("m")).where("groups > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
+    mixed = mixed.select("bucket", F.col("m.root").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("m.n")).alias("out"))
+    rooted = rooted.join(mixed, "bucket").join(classes.select("set_id", "marks"), "set_id")
+    rooted = rooted.select("bucket", "set_id", "n_shingles", F.xxhash64("root").alias("root"), "marks", "all", "out", (F.col("root") != F.col("main")).alias("asks"))
+    side = lambda asks, mine, other: rooted.where(asks).select("bucket", F.expr(f"pmod(xxhash64(set_id), {mine})").alias(mine[0]), F.explode(F.expr(f"sequence(0L, {other} - 1)")).alias(other[0]), F.lit(mine == "out").alias("asks"), "set_id", "n_shingles", "root", "marks")
+    met = side("asks", "out", "all").unionByName(side("true", "all", "out"))
+    met = met.select(F.xxhash64("bucket", "o", "a").alias("place"), "bucket", "o", "a", "asks", "set_id", "n_shingles", "root", "marks")
+    met = met.repartition("place").sortWithinPartitions("place", "bucket", "o", "a")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = np.stack([table.column(c).to_numpy() for c in ("place", "bucket", "o", "a")])
+            last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            if last:
+                yield from compared(table.slice(0, last), keys[:, :last])
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield from compared(held, np.stack([held.column(c).to_numpy() for c in ("place", "bucket", "o", "a")]))
+
+    def compared(table: pa.Table, keys: np.ndarray):
+        asks = table.column("asks").to_numpy()
+        n, root = table.column("n_shingles").to_numpy(), table.column("root").to_numpy()
+        mark = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
+        names = table.column("set_id").combine_chunks()
+        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
+        for start, end in zip(edges, edges[1:], strict=False):
+            mine, other = (start + np.flatnonzero(asks[start:end] == x) for x in (True, False))
+            for at in range(0, len(mine), 64):
+                some = mine[at : at + 64]
+                i, j = np.nonzero((root[some][:, None] != root[other]) & (100 * np.minimum(n[some][:, None], n[other]) >= percent * np.maximum(n[some][:, None], n[other])))
+                for cut in range(0, len(i), 1 << 16):
+                    x, y = some[i[cut : cut + (1 << 16)]], other[j[cut : cut + (1 << 16)]]
+                    near = (mark[x] == mark[y]).sum(axis=1) >= LEAST_AGREEMENT
+                    if near.any():
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(x[near])), names.take(pa.array(y[near]))], names=["a", "b"])
+
+    pairs = met.mapInArrow(run, "a binary, b binary")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -189,7 +203,7 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
     classes = members.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     rows = durable(shared_buckets(classes.where("rep is not null")))
     # From here on only classes that share a bucket matter.
-    near = durable(classes.join(rows.select("set_id").distinct(), "set_id").select("set_id", "rep", "sketch"))
+    near = durable(classes.join(rows.select("set_id").distinct(), "set_id").select("set_id", "rep", marks().alias("marks")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         pairs = durable(pairs)
@@ -200,7 +214,7 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
         return durable(confirm(pairs, texts, words, percent))
 
     links = confirmed(star(rows, percent))
-    links = links.unionByName(confirmed(second_chance(rows, hubs(links), near, percent)))
+    links = links.unionByName(confirmed(rest(rows, components(links), near, percent)))
     found = components(links)
     reps = members.agg(F.min("doc_id").alias("rep"))
     found = found.join(reps.withColumnRenamed("set_id", "node"), "node")

@@ -99,6 +99,20 @@ def test_one_large_group(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(docs)
 
 
+def test_copies_without_their_original(spark):
+    """Edited copies of a text that is not there: most share buckets, few are links, and many links avoid the centres."""
+    draw = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for i in range(900):
+        copy = list(base)
+        for at in draw.sample(range(120), 5):
+            copy[at] = f"x{draw.randrange(10**6)}"
+        docs.append((i, " ".join(copy)))
+    got = minhash.near_duplicates(table(spark, [(i, t, None, None) for i, t in docs])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(docs)
+
+
 def test_shingles_of_five_words():
     texts = [b"a b c d e f", b"A  b c\td e f", b"a b c", b"a b c d e g", b""]
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
