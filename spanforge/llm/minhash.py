@@ -170,8 +170,22 @@ def rest(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int = 8
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def class_texts(documents: DataFrame, needed: DataFrame, words: int = 2, few: bool = True) -> DataFrame:
+    """(set_id, text): one text for each class of needed (set_id, rep), found by its set and not by the id alone, since
+    rows with one doc_id may carry different texts."""
+    hint = "broadcast" if few else "merge"
+    rows = ids_and_texts(documents).join(needed.select(F.col("rep").alias("doc_id")).distinct().hint(hint), "doc_id", "left_semi")
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        digests = [digest(s) if len(s) else None for s in shingle_sets(*text_bytes(batch.column(1)), words)]
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(1)], names=["set_id", "text"])
+
+    named = map_steps(rows.select("doc_id", "text"), step, "set_id binary, text string")
+    return named.join(needed.select("set_id").hint(hint), "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: (set_id, text)."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. texts: (set_id, text), one of each."""
     with_b = pairs.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
     both = with_b.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -181,14 +195,9 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 8
         fresh = [i for i, k in enumerate(keys) if not i or keys[i - 1] != k]
         centre = shingle_sets(*text_bytes(batch.column(2).take(pa.array(fresh))), words)
         which = np.searchsorted(fresh, np.arange(len(keys)), side="right") - 1
-        names = batch.column(3).to_pylist()
-        right = [digest(s) == keys[i] for s, i in zip(centre, fresh, strict=True)]
         keep = []
         for i, other in enumerate(others):
             mine = centre[which[i]]
-            if not right[which[i]] or digest(other) != names[i]:  # another text under the same doc_id
-                keep.append(False)
-                continue
             common = len(np.intersect1d(mine, other, assume_unique=True))
             keep.append(100 * common >= percent * (len(mine) + len(other) - common))
         return batch.select([0, 3]).filter(pa.array(keep))
@@ -209,8 +218,7 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
         pairs = durable(pairs)
         needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(near, "set_id").select("set_id", "rep"))
         # A few ids find their texts where these lie; beyond the bound texts are shuffled to them.
-        needed = needed.hint("broadcast" if needed.count() <= BROADCAST_IDS else "merge")
-        texts = ids_and_texts(documents).join(needed, F.col("doc_id") == F.col("rep")).select("set_id", "text")
+        texts = class_texts(documents, needed, words, needed.count() <= BROADCAST_IDS)
         return durable(confirm(pairs, texts, words, percent))
 
     links = confirmed(star(rows, percent))

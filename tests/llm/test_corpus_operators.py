@@ -113,6 +113,19 @@ def test_copies_without_their_original(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(docs)
 
 
+def test_one_id_with_different_texts(spark):
+    """Each text under a shared id has an edited copy of its own."""
+    draw = random.Random(8)
+    docs = []
+    for i in range(60):
+        text = [f"t{i}w{k}" for k in range(40)]
+        copy = list(text)
+        copy[draw.randrange(40)] = "other"
+        docs += [(i % 6, " ".join(text)), (100 + i, " ".join(copy))]
+    got = minhash.near_duplicates(table(spark, [(i, t, None, None) for i, t in docs])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(docs)
+
+
 def test_shingles_of_five_words():
     texts = [b"a b c d e f", b"A  b c\td e f", b"a b c", b"a b c d e g", b""]
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
