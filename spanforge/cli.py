@@ -66,10 +66,11 @@ def main(argv: list[str] | None = None) -> int:
         truth = evaluation.with_ids(records.read_truth(spark, args.ground_truth).withColumnRenamed("id", "truth_name"), order)
         tables = evaluation.evaluate(detections, truth, args.char_tolerance)
         with open(args.report, "w", encoding="utf-8") as f:
-            f.write(evaluation.report(tables))
+            f.writelines(f"{line}\n" for line in evaluation.report_lines(tables))
         if args.tables:
-            records.write_tables(tables, f"{args.tables}/csv")
-            records.write_tables(tables, f"{args.tables}/json", "json")
+            stored = evaluation.full_result(tables)
+            records.write_tables(stored, f"{args.tables}/csv")
+            records.write_tables(stored, f"{args.tables}/json", "json")
         if args.charts:
             os.makedirs(args.charts, exist_ok=True)
             scored = score.score(detections, truth, args.char_tolerance)

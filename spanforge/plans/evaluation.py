@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import score as S
 
-#: Examples in a full result, false positives in a report and misses in a report, per category.
+#: Examples in a full result and false positives in a report, per category; misses are all reported.
 EXAMPLES, REPORT_FALSE = 10, 20
 
 
@@ -23,7 +25,7 @@ def top_examples(errors: DataFrame, k: int = EXAMPLES) -> DataFrame:
 
 
 def evaluate(detections: DataFrame, truth: DataFrame, tolerance: int = S.TOLERANCE) -> dict[str, DataFrame]:
-    """All result tables, by name: scores, outcomes, detectors, coverage, shares, wrong and missed examples."""
+    """All result tables, by name: scores, outcomes, detectors, coverage, shares, all wrong and all missed ones."""
     pairs = S.match_pairs(detections, truth, tolerance)
     tp = pairs.groupBy("category").agg(F.count("*").alias("tp"))
     counts = S.totals(detections, truth, tp)
@@ -37,30 +39,47 @@ def evaluate(detections: DataFrame, truth: DataFrame, tolerance: int = S.TOLERAN
         "errors": scores.where("category <> 'OVERALL'").select("category", "fp", "fn"),
         "detectors": S.formatted(S.detector_metrics(counts)),
         "distribution": S.distribution(truth),
-        "false_positives": top_examples(S.false_positives(detections, pairs)),
-        "false_negatives": top_examples(S.false_negatives(truth, pairs)),
+        "false_positives": S.false_positives(detections, pairs),
+        "false_negatives": S.false_negatives(truth, pairs),
     }
 
 
-def report(tables: dict[str, DataFrame]) -> str:
-    """A Markdown report; only tables of a few rows per category come to the driver."""
+def full_result(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables as they are stored, with EXAMPLES wrong and missed ones for each category."""
+    return tables | {name: top_examples(tables[name]) for name in ("false_positives", "false_negatives")}
+
+
+def report_lines(tables: dict[str, DataFrame]) -> Iterator[str]:
+    """Lines of a Markdown report; what may be long comes to the driver part by part."""
     rows = tables["metrics"].orderBy(F.col("category") == "OVERALL", "category").collect()
-    lines = ["# Evaluation", "", "| Category | Truth | Detected | TP | FP | FN | Precision | Recall | F1 |", "|---|---|---|---|---|---|---|---|---|"]
-    lines += [f"| {r.category} | {r.gt} | {r.detected} | {r.tp} | {r.fp} | {r.fn} | {r.precision} {r.precision_target} | {r.recall} {r.recall_target} | {r.f1} |" for r in rows]
-    for title, name, most in (("False positives", "false_positives", REPORT_FALSE), ("Missed", "false_negatives", None)):
-        lines += ["", f"## {title}", ""]
-        found = tables[name].orderBy("category", "rank")
-        lines += [f"- {r.category}: {r.text!r}" for r in (found.where(F.col("rank") <= most) if most else found).collect()] or ["none"]
-    return "\n".join(lines) + "\n"
+    yield from ("# Evaluation", "", "| Category | Truth | Detected | TP | FP | FN | Precision | Recall | F1 |", "|---|---|---|---|---|---|---|---|---|")
+    for r in rows:
+        yield f"| {r.category} | {r.gt} | {r.detected} | {r.tp} | {r.fp} | {r.fn} | {r.precision} {r.precision_target} | {r.recall} {r.recall_target} | {r.f1} |"
+    for title, found in (("False positives", top_examples(tables["false_positives"], REPORT_FALSE)), ("Missed", tables["false_negatives"])):
+        yield from ("", f"## {title}", "")
+        none = True
+        for r in found.orderBy("category", "id").toLocalIterator():
+            none = False
+            yield f"- {r.category}: {r.text!r}"
+        if none:
+            yield "none"
+
+
+def report(tables: dict[str, DataFrame]) -> str:
+    """The Markdown report as one string."""
+    return "\n".join(report_lines(tables)) + "\n"
 
 
 def outcome_report(tables: dict[str, DataFrame]) -> str:
     """A plain-text report: outcomes over all, then each category's errors, up to REPORT_FALSE false ones and all missed."""
     total = tables["outcomes"].first()
     lines = ["Outcomes", f"  found and true: {total.tp}", f"  found, not true: {total.fp}", f"  true, not found: {total.fn}", ""]
-    wrong, missed = (tables[n].orderBy("category", "rank").collect() for n in ("false_positives", "false_negatives"))
+    wrong = top_examples(tables["false_positives"], REPORT_FALSE).orderBy("category", "id").collect()
+    missed = {}
+    for r in tables["false_negatives"].orderBy("category", "id").toLocalIterator():
+        missed.setdefault(r.category, []).append(f"  - missed: {r.text!r}")
     for row in tables["errors"].orderBy("category").collect():
         lines.append(f"{row.category}: {row.fp} false, {row.fn} missed")
-        lines += [f"  - false: {r.text!r}" for r in wrong if r.category == row.category][:REPORT_FALSE]
-        lines += [f"  - missed: {r.text!r}" for r in missed if r.category == row.category]
+        lines += [f"  - false: {r.text!r}" for r in wrong if r.category == row.category]
+        lines += missed.get(row.category, [])
     return "\n".join(lines) + "\n"

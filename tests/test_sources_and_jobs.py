@@ -128,6 +128,20 @@ def test_reports_and_charts(spark):
     assert len(made) == 5 and all(c.startswith("<svg") and c.count("<rect") for c in made.values())
 
 
+def test_reports_list_all_missed(spark):
+    from spanforge.plans import evaluation
+
+    fields = "id int, text string, category string, para_idx int, start_char int"
+    found = spark.createDataFrame([(i, f"f{i}.", "IP", i, 0) for i in range(25)], fields)
+    truth = spark.createDataFrame([(i, f"m{i}.", "IP", 100 + i, 0) for i in range(30)], fields)
+    tables_ = evaluation.evaluate(found, truth)
+    for text in (evaluation.report(tables_), evaluation.outcome_report(tables_)):
+        assert all(f"'m{i}.'" in text for i in range(30))
+        assert [f"'f{i}.'" in text for i in range(25)] == [True] * 20 + [False] * 5
+    stored = evaluation.full_result(tables_)
+    assert stored["false_positives"].count() == stored["false_negatives"].count() == 10
+
+
 def test_own_detector(spark):
     from spanforge.functions.expressions import as_match, spans
     from spanforge.operators import structured
