@@ -1,21 +1,30 @@
 """Cross-entropy difference of documents under a target and a background n-gram model.
 
-Both models share one vocabulary (all words met, and room for `WORDS` at least), one order (bigrams over unigrams) and
-one smoothing, so that a token's two losses differ by what the corpora hold and by nothing else. Words, histories and
-pairs are known by 64-bit hashes and counted one by one; no table is bounded and none comes to the driver:
+The two models are matched: one vocabulary (all words of the corpus), one order (bigrams over unigrams), one smoothing,
+and one size: the background is the corpus without the target, and its counts are scaled so that both count as many
+words. What a document itself adds is taken off before it is scored, so that a target document is not known by heart
+while others are strange. Every document is counted; only what both corpora hold makes the difference.
 
-1. A map pass cuts the documents into chunks of some `CHUNK` tokens and packs each chunk's distinct keys, with their
-   counts in the chunk, by ranges of the key. A hot key is one entry of a chunk, and the number of ranges grows with the
-   text, so that a range stays of bounded size.
-2. Each range adds up its keys over all chunks and answers every chunk with the sums, in the order of the chunk's keys.
-   These answers go to the checkpoint folder.
-3. A chunk meets its answers and scores its documents.
+For a word w after h (the text's start counts as a word), with counts c, size N and V distinct words:
 
-A document's score is the mean over its words of target loss minus background loss, in nats; low means like the target.
+    p(w) = (s c(w) + ADDED) / (s N + ADDED (V + 1)),   p(w | h) = (s c(h, w) + BACKOFF p(w)) / (s c(h) + BACKOFF)
+
+where s is 1 for the target and target words / background words for the background. c(h) counts all places of h, also
+those at a text's end, so the rest of its chance belongs to the end. A document's score is the mean over its words of
+target loss minus background loss, in nats; low means like the target.
+
+Words and pairs are known by 64-bit hashes and counted one by one; no table is bounded and none comes to the driver:
+
+1. A map pass packs the documents into chunks of some `CHUNK` tokens, each a list of distinct words, the commonest first,
+   and places in that list. Chunks go to the checkpoint folder.
+2. Each chunk's distinct words and pairs, with their counts there, are dealt out by ranges of the hash. A hot key is one
+   entry of a chunk, and the number of ranges grows with the text, so that a range stays of bounded size.
+3. Each range adds up its keys over all chunks and answers every chunk with the sums, in the order of the chunk's keys.
+4. A chunk meets its answers and scores its documents.
 
 Defined cases: a null or blank text has no tokens, and null losses and score; a null doc_id is no target; rows with one
-doc_id are scored each, and are all targets if the id is one; without target documents the target model is uniform;
-other columns are ignored.
+doc_id are scored each, and are all targets if the id is one; without target (or other) documents that model is uniform;
+a text of any length is one document of one chunk; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,35 +41,20 @@ from .arrow import ids_and_texts, steps, text_bytes
 from .durable import durable
 from .shingles import FIRST, SECOND, mix, word_hashes
 
-#: The least size of the vocabulary that smoothing leaves room for; beyond it, the number of distinct words counts.
-WORDS = 1 << 16
 #: Added to each word's count, and the weight of the unigram in a bigram's estimate.
 ADDED, BACKOFF = 0.1, 8.0
 #: The history at a text's start.
 START = np.uint64(0)
 #: Tokens of a chunk, the least number of key ranges, and the bytes of all texts for each range.
-CHUNK, RANGES, RANGE_BYTES = 1 << 20, 512, 16 << 20
-KINDS = 3
+CHUNK, RANGES, RANGE_BYTES = 3 << 19, 512, 16 << 20
+#: Target ids that may be broadcast (some 40 bytes each); more of them meet the texts in a shuffle.
+BROADCAST_IDS = 500_000
 
-PACKED = "chunk long, part long, keys binary, target binary, every binary, met long, n_target long, n_every long"
+PACKED = "chunk long, part long, keys binary, target binary, every binary, met long"
+SIZES = ("target_words", "every_word", "target_texts", "every_text")
 SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 
 
-def chain(word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(history, pair) of each word; `before` is the number of words before each text."""
-    history = np.empty_like(word)
-    history[1:] = word[:-1]
-    history[before[:-1][np.diff(before) > 0]] = START
-    return history, mix(history * FIRST + (word ^ SECOND) * SECOND)
-
-
-def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word, history, pair, before): 64-bit hashes of each word, of the word before it (START at a text's start), of
-    both together, and the number of words before each text."""
-    word, before = word_hashes(raw, at)
-    return word, *chain(word, before), before
-
-
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers, bytes of one weight side by side, compressed."""
     values = np.ascontiguousarray(values, np.uint64)
@@ -76,46 +70,65 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
 
 
+def joined(arrays: list[np.ndarray]) -> bytes:
+    parts = [pack(a) for a in arrays]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def parted(packed: bytes) -> list[np.ndarray]:
+    found = []
+    while packed:
+        end = 8 + int.from_bytes(packed[:8], "little")
+        found.append(unpack(packed[8:end]))
+        packed = packed[end:]
+    return found
+
+
 def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
-    names = ["chunk", "part", "keys", "target", "every", "met", "n_target", "n_every"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = ["chunk", "part", "keys", "target", "every", "met"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
     columns = zip(*rows, strict=True) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def chunk_rows(place: str, ids: pa.Array, flags: np.ndarray, word: np.ndarray, before: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """One row with the chunk's documents (part below 0), and one for each kind of key and range."""
-    n = np.diff(before)
-    words, code = np.unique(word, return_inverse=True)
-    known = pack(np.asarray(ids.is_valid()).astype(np.uint64))
-    names = pack(ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-    documents = [pack(n), known, names, pack(words), pack(code)]
-    chunk = int.from_bytes(hashlib.blake2b(place.encode() + b"".join(documents), digest_size=8).digest(), "little", signed=True)
-    joined = b"".join(len(d).to_bytes(8, "little") + d for d in documents)
-    rows = [(chunk, -1 - (chunk & (1 << 62) - 1), joined, None, None, 0, 0, 0)]
-    wanted = np.repeat(flags, n)
-    for kind, keys in enumerate((word, *chain(word, before))):
-        distinct, which = np.unique(keys, return_inverse=True)
-        every = np.bincount(which, minlength=len(distinct))
-        target = np.bincount(which[wanted], minlength=len(distinct))
-        part = ((distinct >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        cuts = [*np.flatnonzero(np.diff(part, prepend=np.uint64(ranges))).tolist(), len(distinct)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            steps_up = np.diff(distinct[a:b], prepend=np.uint64(0))
-            rows.append((chunk, kind * ranges + int(part[a]), pack(steps_up), pack(target[a:b]), pack(every[a:b]), 0, 0, 0))
-    return packed_rows(rows)
-
-
-def chunks(flagged: DataFrame, ranges: int) -> DataFrame:
-    """PACKED rows of all documents (doc_id, text, is_target)."""
+class Chunk:
+    """Documents as places in a list of distinct words: number of words, id, id known, target, for each document."""
+
+    def __init__(self, n, ids, known, wanted, words, code):
+        self.n, self.ids, self.known, self.wanted = n.astype(np.int64), ids, known > 0, wanted > 0
+        self.words, self.code = words, code.astype(np.intp)
+        self.before = np.concatenate([[0], np.cumsum(self.n)])
+        self.owner = np.repeat(np.arange(len(n)), self.n)
+
+    def pairs(self) -> np.ndarray:
+        """A hash of each word and the one before it."""
+        history = np.empty(len(self.code), np.uint64)
+        word = self.words[self.code]
+        history[1:] = word[:-1]
+        history[self.before[:-1][self.n > 0]] = START
+        return mix(history * FIRST + (word ^ SECOND) * SECOND)
+
+
+def chunks(flagged: DataFrame) -> DataFrame:
+    """One row per chunk of all documents (doc_id, text, is_target): words and texts with words, of the target and in all."""
 
     def run(batches):
         at, held, size = 0, [], 0
 
         def whole():
             ids = pa.concat_arrays([h[0] for h in held])
-            flags, word, n = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-            return chunk_rows(f"{TaskContext.get().partitionId()} {at}", ids, flags, word, np.concatenate([[0], np.cumsum(n)]), ranges)
+            wanted, word, n = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
+            words, code, counts = np.unique(word, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            known = np.asarray(ids.is_valid())
+            documents = joined([n, ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64), known, wanted, words[order], place[code]])
+            seed = f"{TaskContext.get().partitionId()} {at}".encode()
+            name = int.from_bytes(hashlib.blake2b(seed + documents, digest_size=8).digest(), "little", signed=True)
+            sizes = [n[wanted].sum(), n.sum(), (n[wanted] > 0).sum(), (n > 0).sum()]
+            columns = [pa.array([name], pa.int64()), pa.array([documents], pa.binary()), *[pa.array([int(x)], pa.int64()) for x in sizes]]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "documents", *SIZES])
 
         for part in steps(batches):
             word, before = word_hashes(*text_bytes(part.column(1)))
@@ -127,83 +140,144 @@ def chunks(flagged: DataFrame, ranges: int) -> DataFrame:
         if held:
             yield whole()
 
-    return flagged.select("doc_id", "text", "is_target").mapInArrow(run, PACKED)
+    return flagged.select("doc_id", "text", "is_target").mapInArrow(run, "chunk long, documents binary, " + ", ".join(f"{name} long" for name in SIZES))
+
+
+def keys(held: DataFrame, ranges: int) -> DataFrame:
+    """PACKED rows: each chunk's distinct words (parts from 0) and pairs (parts from `ranges`) with their counts."""
+
+    def run(batches):
+        for batch in batches:
+            for name, documents in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                chunk = Chunk(*parted(documents))
+                wanted, rows = chunk.wanted[chunk.owner], []
+                for kind, values in enumerate((chunk.words[chunk.code], chunk.pairs())):
+                    distinct, which = np.unique(values, return_inverse=True)
+                    every = np.bincount(which, minlength=len(distinct))
+                    target = np.bincount(which[wanted], minlength=len(distinct))
+                    part = ((distinct >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                    cuts = [*np.flatnonzero(np.diff(part, prepend=np.uint64(ranges))).tolist(), len(distinct)]
+                    for a, b in zip(cuts, cuts[1:], strict=False):
+                        gaps = np.diff(distinct[a:b], prepend=np.uint64(0))
+                        rows.append((name, kind * ranges + int(part[a]), pack(gaps), pack(target[a:b]), pack(every[a:b]), 0))
+                yield packed_rows(rows)
+
+    return held.select("chunk", "documents").mapInArrow(run, PACKED)
 
 
 def summed(packed: DataFrame, ranges: int) -> DataFrame:
-    """PACKED rows with the sums over all chunks in place of a chunk's own counts, and without keys. In the first row of
-    a range of words stand the number of distinct ones and their counts; documents pass."""
+    """PACKED rows with the sums over all chunks in place of a chunk's own counts, and without keys. met: in the first
+    row of a range of words, the number of distinct ones."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        if part < 0:
-            return table
-        keys = [np.cumsum(unpack(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
-        distinct, which = np.unique(np.concatenate(keys), return_inverse=True)
+        mine = [np.cumsum(unpack(k), dtype=np.uint64) for k in table.column("keys").to_pylist()]
+        distinct, which = np.unique(np.concatenate(mine), return_inverse=True)
         sums = []
         for name in ("target", "every"):
-            mine = np.concatenate([unpack(v) for v in table.column(name).to_pylist()])
-            sums.append(np.bincount(which, mine, len(distinct)).astype(np.uint64))
-        ends = np.cumsum([0, *map(len, keys)])
-        totals = (len(distinct), int(sums[0].sum()), int(sums[1].sum())) if part < ranges else (0, 0, 0)
+            counts = np.concatenate([unpack(v) for v in table.column(name).to_pylist()])
+            sums.append(np.bincount(which, counts, len(distinct)).astype(np.uint64))
+        ends = np.cumsum([0, *map(len, mine)])
         rows = []
         for row, chunk in enumerate(table.column("chunk").to_pylist()):
-            mine = which[ends[row] : ends[row + 1]]
-            rows.append((chunk, part, None, pack(sums[0][mine]), pack(sums[1][mine]), *(totals if not row else (0, 0, 0))))
+            here = which[ends[row] : ends[row + 1]]
+            rows.append((chunk, part, None, pack(sums[0][here]), pack(sums[1][here]), len(distinct) if part < ranges and not row else 0))
         return pa.Table.from_batches([packed_rows(rows)])
 
     return packed.groupBy("part").applyInArrow(run, PACKED)
 
 
-def scored(answers: DataFrame, ranges: int) -> DataFrame:
-    """SCORED rows of the documents in `answers` (PACKED, summed)."""
-    total = answers.agg(F.sum("met").alias("met"), F.sum("n_target").alias("target"), F.sum("n_every").alias("every")).first()
-    vocabulary, sizes = max(WORDS, total.met or 0), {"target": total.target, "every": total.every}
+def scored(held: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
+    """SCORED rows of the documents in `held` (chunks) by `answers` (PACKED, summed)."""
+    vocabulary = answers.agg(F.sum("met").alias("met")).first().met or 0
+    total = held.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in SIZES]).first()
+    size = (total.target_words, total.every_word - total.target_words)
+    texts = (total.target_texts, total.every_text - total.target_texts)
+    scales = (1.0, size[0] / size[1] if size[0] and size[1] else 1.0)
 
     def run(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_numpy()
-        order = np.argsort(parts)
-        joined, documents = table.column("keys")[int(order[0])].as_py(), []
-        while joined:
-            end = 8 + int.from_bytes(joined[:8], "little")
-            documents.append(unpack(joined[8:end]))
-            joined = joined[end:]
-        n, known, names, words, code = documents
-        before = np.concatenate([[0], np.cumsum(n.astype(np.int64))])
-        word = words[code.astype(np.intp)]
-        sizes_of, which = [], []
-        for keys in (word, *chain(word, before)):
-            distinct, place = np.unique(keys, return_inverse=True)
-            which.append(place)
-            sizes_of.append(len(distinct))
-        some = n > 0
-        means = []
-        for name, size in sizes.items():
-            column = table.column(name)
-            counts = []
-            for kind in range(KINDS):
-                mine = [unpack(column[int(i)].as_py()) for i in order if parts[i] >= 0 and parts[i] // ranges == kind]
-                counts.append(np.concatenate([np.zeros(0, np.uint64), *mine]).astype(np.float64))
-            if list(map(len, counts)) != sizes_of:
+        order = np.argsort(parts)  # the documents' part is -1
+        chunk = Chunk(*parted(table.column("keys")[int(order[0])].as_py()))
+        order = order[1:]
+        own, sums = [], []
+        for kind, values in enumerate((chunk.words[chunk.code], chunk.pairs())):
+            distinct, which = np.unique(values, return_inverse=True)
+            here = [int(i) for i in order if parts[i] // ranges == kind]
+            counts = [np.concatenate([np.zeros(0, np.uint64), *[unpack(table.column(c)[i].as_py()) for i in here]]).astype(np.float64) for c in ("target", "every")]
+            if any(len(c) != len(distinct) for c in counts):
                 raise ValueError("a chunk lacks counts of its words")
-            one, history, two = (c[w] for c, w in zip(counts, which, strict=True))
-            loss = -np.log((two + BACKOFF * (one + ADDED) / ((size or 0) + ADDED * vocabulary)) / (history + BACKOFF))
-            mean = np.full(len(n), np.nan)
+            # How often each word or pair stands in the document that holds this place.
+            again, back = np.unique(chunk.owner * len(distinct) + which, return_inverse=True)
+            own.append(np.bincount(back, minlength=len(again))[back])
+            sums.append((counts[0][which], (counts[1] - counts[0])[which]))
+        first = np.zeros(len(chunk.code), bool)
+        first[chunk.before[:-1][chunk.n > 0]] = True
+        some, means = chunk.n > 0, []
+        for side, s, mine in zip((0, 1), scales, (chunk.wanted, ~chunk.wanted), strict=True):
+            left = mine[chunk.owner]
+            word = s * (sums[0][side] - left * own[0])
+            pair = s * (sums[1][side] - left * own[1])
+            # At a text's start the history is the start of all other documents with words.
+            starts = s * (texts[side] - mine)[chunk.owner]
+            history = np.where(first, starts, np.concatenate([[0.0], word[:-1]]) if len(word) else word)
+            whole = s * (size[side] - np.where(mine, chunk.n, 0))[chunk.owner]
+            one = (word + ADDED) / (whole + ADDED * (vocabulary + 1))
+            loss = -np.log((pair + BACKOFF * one) / (history + BACKOFF))
+            mean = np.full(len(chunk.n), np.nan)
             if some.any():
-                mean[some] = np.add.reduceat(loss, before[:-1][some]) / n[some]
+                mean[some] = np.add.reduceat(loss, chunk.before[:-1][some]) / chunk.n[some]
             means.append(mean)
-        columns = [*means, means[0] - means[1]]
-        ids = pa.array(names.view(np.int64), mask=known == 0)
-        return pa.table([ids, pa.array(n.astype(np.int64)), *[pa.array(c, mask=~some) for c in columns]], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        ids = pa.array(chunk.ids.view(np.int64), mask=~chunk.known)
+        columns = [pa.array(c, mask=~some) for c in (*means, means[0] - means[1])]
+        return pa.table([ids, pa.array(chunk.n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
-    return answers.groupBy("chunk").applyInArrow(run, SCORED)
+    documents = held.select("chunk", F.lit(-1).cast("long").alias("part"), F.col("documents").alias("keys"), F.lit(None).cast("binary").alias("target"), F.lit(None).cast("binary").alias("every"), F.lit(0).cast("long").alias("met"))
+    return documents.unionByName(answers).groupBy("chunk").applyInArrow(run, SCORED)
 
 
 def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score); target_ids: (doc_id) of the target corpus."""
     rows = ids_and_texts(documents)
-    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("is_target", F.lit(True))
-    # Ids have no size bound, so the flag comes by a shuffle join at any size; a broadcast would only suit small tables.
-    flagged = rows.join(wanted.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
+    few = wanted.count() <= BROADCAST_IDS
+    flagged = rows.join(wanted.hint("broadcast" if few else "merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
     ranges = max(RANGES, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // RANGE_BYTES)
-    return scored(durable(summed(chunks(flagged, ranges), ranges)), ranges)
+    held = durable(chunks(flagged))
+    return scored(held, durable(summed(keys(held, ranges), ranges)), ranges)
+
+
+ORACLE = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0 AND doc_id IS NOT NULL), false) AS mine,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+tokens AS (SELECT r, mine, len(w) AS n, unnest(w) AS word, unnest(list_prepend(CAST(NULL AS VARCHAR), w[:-2])) AS history FROM docs WHERE len(w) > 0),
+words AS (SELECT word, count(*) FILTER (mine) AS t, count(*) FILTER (NOT mine) AS b FROM tokens GROUP BY word),
+pairs AS (SELECT history, word, count(*) FILTER (mine) AS t, count(*) FILTER (NOT mine) AS b FROM tokens GROUP BY history, word),
+own_words AS (SELECT r, word, count(*) AS c FROM tokens GROUP BY r, word),
+own_pairs AS (SELECT r, history, word, count(*) AS c FROM tokens GROUP BY r, history, word),
+sizes AS (
+  SELECT CAST(count(*) FILTER (mine) AS DOUBLE) AS nt, CAST(count(*) FILTER (NOT mine) AS DOUBLE) AS nb, count(DISTINCT word) + 1 AS v,
+         count(*) FILTER (mine AND history IS NULL) AS st, count(*) FILTER (NOT mine AND history IS NULL) AS sb FROM tokens),
+scales AS (SELECT *, CASE WHEN nt > 0 AND nb > 0 THEN nt / nb ELSE 1.0 END AS s FROM sizes),
+sides AS (SELECT true AS side UNION ALL SELECT false),
+counted AS (
+  SELECT k.r, side, CASE WHEN side THEN 1.0 ELSE s END AS s, v,
+         CASE WHEN side THEN nt ELSE nb END - CASE WHEN side = k.mine THEN k.n ELSE 0 END AS size,
+         CASE WHEN side THEN words.t ELSE words.b END - CASE WHEN side = k.mine THEN ow.c ELSE 0 END AS c1,
+         CASE WHEN side THEN pairs.t ELSE pairs.b END - CASE WHEN side = k.mine THEN op.c ELSE 0 END AS c2,
+         CASE WHEN k.history IS NULL THEN CASE WHEN side THEN st ELSE sb END - CASE WHEN side = k.mine THEN 1 ELSE 0 END
+              ELSE CASE WHEN side THEN hw.t ELSE hw.b END - CASE WHEN side = k.mine THEN oh.c ELSE 0 END END AS ch
+  FROM tokens AS k CROSS JOIN sides CROSS JOIN scales
+  JOIN words ON words.word = k.word
+  JOIN pairs ON pairs.word = k.word AND pairs.history IS NOT DISTINCT FROM k.history
+  JOIN own_words AS ow ON ow.r = k.r AND ow.word = k.word
+  JOIN own_pairs AS op ON op.r = k.r AND op.word = k.word AND op.history IS NOT DISTINCT FROM k.history
+  LEFT JOIN words AS hw ON hw.word = k.history
+  LEFT JOIN own_words AS oh ON oh.r = k.r AND oh.word = k.history),
+losses AS (
+  SELECT r, side, avg(-ln((s * c2 + {BACKOFF} * (s * c1 + {ADDED}) / (s * size + {ADDED} * v)) / (s * ch + {BACKOFF}))) AS loss FROM counted GROUP BY r, side)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(t.loss, 6) AS target_loss, round(b.loss, 6) AS background_loss, round(t.loss - b.loss, 6) AS score
+FROM docs LEFT JOIN losses AS t ON t.r = docs.r AND t.side LEFT JOIN losses AS b ON b.r = docs.r AND NOT b.side
+"""

@@ -232,72 +232,81 @@ def test_held_out_rows_teach_nothing(spark):
 
 
 def brute_scores(docs, wanted):
-    from spanforge.llm.lm_scoring import ADDED, BACKOFF, WORDS, tokens
-
-    def cut(t):
-        raw = (t or "").encode()
-        return tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[:3]
-
-    models = []
-    for corpus in ([t for i, t in docs if i in wanted], [t for _, t in docs]):
-        one, before, two = Counter(), Counter(), Counter()
-        for t in corpus:
-            w, h, p = cut(t)
-            one.update(w.tolist())
-            before.update(h.tolist())
-            two.update(p.tolist())
-        models.append((one, before, two, sum(one.values())))
+    """(id, words, target loss, background loss) by strings: each document is left out of the counts that score it."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    cut = [[w.translate(low) for w in words(t)] for _, t in docs]
+    vocabulary = len({w for c in cut for w in c}) + 1
+    mine = [i in wanted for i, _ in docs]
+    sizes = [sum(len(c) for c, m in zip(cut, mine, strict=True) if m is side) for side in (True, False)]
+    counts = []
+    for side in (True, False):
+        one, two = Counter(), Counter()
+        for c, m in zip(cut, mine, strict=True):
+            if m is side:
+                one.update(c + [None] * bool(c))
+                two.update(zip([None, *c], c, strict=False))
+        counts.append((one, two))
     out = []
-    for i, t in docs:
-        w, h, p = cut(t)
+    for (i, _), c, m in zip(docs, cut, mine, strict=True):
         means = []
-        for one, before, two, n in models:
-            loss = [-np.log((two[c] + BACKOFF * (one[a] + ADDED) / (n + ADDED * WORDS)) / (before[b] + BACKOFF)) for a, b, c in zip(w.tolist(), h.tolist(), p.tolist(), strict=True)]
+        for side, (one, two), n in zip((True, False), counts, sizes, strict=True):
+            s = sizes[0] / sizes[1] if not side and all(sizes) else 1.0
+            if m is side:
+                one, two, n = one - Counter(c + [None] * bool(c)), two - Counter(zip([None, *c], c, strict=False)), n - len(c)
+            loss = [-np.log((s * two[h, w] + 8 * (s * one[w] + 0.1) / (s * n + 0.1 * vocabulary)) / (s * one[h] + 8)) for h, w in zip([None, *c], c, strict=False)]
             means.append(np.mean(loss) if loss else None)
-        out.append((i, len(w), *means))
+        out.append((i, len(c), *means))
     return out
 
 
-def test_lm_scores(spark, awkward, nothing):
-    docs = [(i, t) for i, t, _, _ in AWKWARD] + [(50 + i, f"good words here {i}") for i in range(5)]
-    wanted = [50, 51, 51, 2, None]
-    ids = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
-    got = lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), ids).collect()
-    key = lambda r: (str(r[0]), r[1], str(r[2])[:8])
-    expected = sorted(brute_scores(docs, {50, 51, 2}), key=key)
-    for r, e in zip(sorted(got, key=key), expected, strict=True):
+def assert_scores(got, expected):
+    key = lambda r: (str(r[0]), r[1], str(r[2])[:8], str(r[3])[:8])
+    for r, e in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
         assert (r.doc_id, r.n_tokens) == e[:2]
         if r.n_tokens:
-            assert np.allclose([r.target_loss, r.background_loss, r.score], [e[2], e[3], e[2] - e[3]])
+            assert np.allclose([r.target_loss, r.background_loss, r.score], [e[2], e[3], e[2] - e[3]], rtol=1e-9)
         else:
-            assert r.target_loss is None and r.score is None
+            assert r.target_loss is None and r.background_loss is None and r.score is None
+
+
+def test_lm_scores(spark, awkward, nothing):
+    docs = [(i, t) for i, t, _, _ in AWKWARD] + [(50 + i, f"good words here {i}") for i in range(5)]
+    ids = spark.createDataFrame([(i,) for i in (50, 51, 51, 2, None)], "doc_id long")
+    got = lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), ids).collect()
+    assert_scores(got, brute_scores(docs, {50, 51, 2}))
     good = next(r.score for r in got if r.doc_id == 52)
     assert good < next(r.score for r in got if r.doc_id == 9)
     assert lm_scoring.score(nothing, ids).count() == 0
 
 
-def test_lm_counts_are_exact_beyond_any_bucket(spark):
-    """More words than the vocabulary's least size, counted as strings."""
+@pytest.mark.parametrize("wanted", [set(), {1, 2, 3}])
+def test_lm_scores_with_one_side_only(spark, wanted):
+    docs = [(1, "a b a"), (2, "b c"), (3, "c a b")]
+    ids = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
+    assert_scores(lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), ids).collect(), brute_scores(docs, wanted))
+
+
+def test_lm_counts_are_exact_over_chunks(spark, monkeypatch):
+    """Many words, several chunks and ranges, ids that come by a shuffle; counted as strings by the brute force."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 3000)
+    monkeypatch.setattr(lm_scoring, "RANGES", 7)
+    monkeypatch.setattr(lm_scoring, "BROADCAST_IDS", 10)
     draw = random.Random(11)
-    docs = [(i, " ".join([f"w{draw.randrange(i * 1000, i * 1000 + 1100)} common" for _ in range(1000)])) for i in range(120)]
-    docs = [(i, t + " " + " ".join(f"u{i}x{k}" for k in range(600))) for i, t in docs]
-    wanted = set(range(0, 120, 3))
-    vocabulary = len({w for _, t in docs for w in words(t)})
-    assert vocabulary > lm_scoring.WORDS
-    models = []
-    for corpus in ([t for i, t in docs if i in wanted], [t for _, t in docs]):
-        cut = [words(t) for t in corpus]
-        two = Counter(p for w in cut for p in zip([None, *w], w, strict=False))
-        one, before = Counter(w for c in cut for w in c), Counter()
-        for (h, _), n in two.items():
-            before[h] += n
-        models.append((one, before, two, sum(one.values())))
+    docs = [(i, " ".join([f"w{draw.randrange(i * 100, i * 100 + 1100)} common" for _ in range(200)])) for i in range(60)]
+    docs = [(i, t + " " + " ".join(f"u{i}x{k}" for k in range(100))) for i, t in docs]
+    wanted = set(range(0, 60, 3))
     ids = spark.createDataFrame([(i,) for i in wanted], "doc_id long")
-    got = {r.doc_id: r for r in lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), ids).collect()}
-    for i, t in docs:
-        w = words(t)
-        means = [np.mean([-np.log((two[h, c] + 8 * (one[c] + 0.1) / (n + 0.1 * vocabulary)) / (before[h] + 8)) for h, c in zip([None, *w], w, strict=False)]) for one, before, two, n in models]
-        assert np.allclose([got[i].target_loss, got[i].background_loss, got[i].score], [*means, means[0] - means[1]], rtol=1e-9)
+    rows = table(spark, [(i, t, None, None) for i, t in docs]).repartition(3)
+    assert_scores(lm_scoring.score(rows, ids).collect(), brute_scores(docs, wanted))
+
+
+def test_a_repeated_document_stands_out(spark):
+    """Left out of its own model, a text that occurs twice is still known from its other copy."""
+    draw = random.Random(12)
+    docs = [(i, " ".join(f"w{draw.randrange(400)}" for _ in range(80))) for i in range(100)]
+    docs.append((100, docs[7][1]))
+    got = {r.doc_id: r.background_loss for r in lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), spark.createDataFrame([(i,) for i in range(50, 70)], "doc_id long")).collect()}
+    assert max(got[7], got[100]) + 0.5 < min(v for i, v in got.items() if i not in (7, 100))
 
 
 def brute_top(vectors, k):
