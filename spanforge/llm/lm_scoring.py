@@ -11,7 +11,8 @@ For a word w after h (the text's start counts as a word), with counts c, size N
 
 where s is 1 for the target and target words / background words for the background. c(h) counts all places of h, also
 those at a text's end, so the rest of its chance belongs to the end. A document's score is the mean over its words of
-target loss minus background loss, in nats; low means like the target.
+target loss minus background loss, in nats; low means like the target. A third loss, by the same model of the whole
+corpus (s = 1), says how well all other documents know this one; it is low for what is repeated.
 
 Words and pairs are known by 64-bit hashes and counted one by one; no table is bounded and none comes to the driver:
 
@@ -52,7 +53,7 @@ BROADCAST_IDS = 500_000
 
 PACKED = "chunk long, part long, keys binary, target binary, every binary, met long"
 SIZES = ("target_words", "every_word", "target_texts", "every_text")
-SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+SCORED = "doc_id long, n_tokens long, target_loss double, background_loss double, score double, corpus_loss double"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -191,9 +192,10 @@ def scored(held: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
     """SCORED rows of the documents in `held` (chunks) by `answers` (PACKED, summed)."""
     vocabulary = answers.agg(F.sum("met").alias("met")).first().met or 0
     total = held.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in SIZES]).first()
-    size = (total.target_words, total.every_word - total.target_words)
-    texts = (total.target_texts, total.every_text - total.target_texts)
-    scales = (1.0, size[0] / size[1] if size[0] and size[1] else 1.0)
+    # Of the three models: target, background, whole corpus.
+    size = (total.target_words, total.every_word - total.target_words, total.every_word)
+    texts = (total.target_texts, total.every_text - total.target_texts, total.every_text)
+    scales = (1.0, size[0] / size[1] if size[0] and size[1] else 1.0, 1.0)
 
     def run(table: pa.Table) -> pa.Table:
         parts = table.column("part").to_numpy()
@@ -210,11 +212,11 @@ def scored(held: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
             # How often each word or pair stands in the document that holds this place.
             again, back = np.unique(chunk.owner * len(distinct) + which, return_inverse=True)
             own.append(np.bincount(back, minlength=len(again))[back])
-            sums.append((counts[0][which], (counts[1] - counts[0])[which]))
+            sums.append((counts[0][which], (counts[1] - counts[0])[which], counts[1][which]))
         first = np.zeros(len(chunk.code), bool)
         first[chunk.before[:-1][chunk.n > 0]] = True
         some, means = chunk.n > 0, []
-        for side, s, mine in zip((0, 1), scales, (chunk.wanted, ~chunk.wanted), strict=True):
+        for side, s, mine in zip((0, 1, 2), scales, (chunk.wanted, ~chunk.wanted, np.ones(len(chunk.n), bool)), strict=True):
             left = mine[chunk.owner]
             word = s * (sums[0][side] - left * own[0])
             pair = s * (sums[1][side] - left * own[1])
@@ -229,15 +231,15 @@ def scored(held: DataFrame, answers: DataFrame, ranges: int) -> DataFrame:
                 mean[some] = np.add.reduceat(loss, chunk.before[:-1][some]) / chunk.n[some]
             means.append(mean)
         ids = pa.array(chunk.ids.view(np.int64), mask=~chunk.known)
-        columns = [pa.array(c, mask=~some) for c in (*means, means[0] - means[1])]
-        return pa.table([ids, pa.array(chunk.n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+        columns = [pa.array(c, mask=~some) for c in (*means[:2], means[0] - means[1], means[2])]
+        return pa.table([ids, pa.array(chunk.n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score", "corpus_loss"])
 
     documents = held.select("chunk", F.lit(-1).cast("long").alias("part"), F.col("documents").alias("keys"), F.lit(None).cast("binary").alias("target"), F.lit(None).cast("binary").alias("every"), F.lit(0).cast("long").alias("met"))
     return documents.unionByName(answers).groupBy("chunk").applyInArrow(run, SCORED)
 
 
 def score(documents: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score); target_ids: (doc_id) of the target corpus."""
+    """(doc_id, n_tokens, target_loss, background_loss, score, corpus_loss); target_ids: (doc_id) of the target corpus."""
     rows = ids_and_texts(documents)
     wanted = target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("is_target", F.lit(True))
     few = wanted.count() <= BROADCAST_IDS
@@ -253,23 +255,22 @@ WITH docs AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
   FROM documents),
 tokens AS (SELECT r, mine, len(w) AS n, unnest(w) AS word, unnest(list_prepend(CAST(NULL AS VARCHAR), w[:-2])) AS history FROM docs WHERE len(w) > 0),
-words AS (SELECT word, count(*) FILTER (mine) AS t, count(*) FILTER (NOT mine) AS b FROM tokens GROUP BY word),
-pairs AS (SELECT history, word, count(*) FILTER (mine) AS t, count(*) FILTER (NOT mine) AS b FROM tokens GROUP BY history, word),
+words AS (SELECT word, count(*) FILTER (mine) AS t, count(*) AS a FROM tokens GROUP BY word),
+pairs AS (SELECT history, word, count(*) FILTER (mine) AS t, count(*) AS a FROM tokens GROUP BY history, word),
 own_words AS (SELECT r, word, count(*) AS c FROM tokens GROUP BY r, word),
 own_pairs AS (SELECT r, history, word, count(*) AS c FROM tokens GROUP BY r, history, word),
 sizes AS (
-  SELECT CAST(count(*) FILTER (mine) AS DOUBLE) AS nt, CAST(count(*) FILTER (NOT mine) AS DOUBLE) AS nb, count(DISTINCT word) + 1 AS v,
-         count(*) FILTER (mine AND history IS NULL) AS st, count(*) FILTER (NOT mine AND history IS NULL) AS sb FROM tokens),
-scales AS (SELECT *, CASE WHEN nt > 0 AND nb > 0 THEN nt / nb ELSE 1.0 END AS s FROM sizes),
-sides AS (SELECT true AS side UNION ALL SELECT false),
+  SELECT CAST(count(*) FILTER (mine) AS DOUBLE) AS nt, CAST(count(*) AS DOUBLE) AS na, count(DISTINCT word) + 1 AS v,
+         count(*) FILTER (mine AND history IS NULL) AS st, count(*) FILTER (history IS NULL) AS sa FROM tokens),
+sides AS (
+  SELECT 't' AS side, 1.0 AS s, nt AS size, st AS starts, v, 1 AS t, 0 AS a FROM sizes
+  UNION ALL SELECT 'b', CASE WHEN nt > 0 AND na > nt THEN nt / (na - nt) ELSE 1.0 END, na - nt, sa - st, v, -1, 1 FROM sizes
+  UNION ALL SELECT 'a', 1.0, na, sa, v, 0, 1 FROM sizes),
 counted AS (
-  SELECT k.r, side, CASE WHEN side THEN 1.0 ELSE s END AS s, v,
-         CASE WHEN side THEN nt ELSE nb END - CASE WHEN side = k.mine THEN k.n ELSE 0 END AS size,
-         CASE WHEN side THEN words.t ELSE words.b END - CASE WHEN side = k.mine THEN ow.c ELSE 0 END AS c1,
-         CASE WHEN side THEN pairs.t ELSE pairs.b END - CASE WHEN side = k.mine THEN op.c ELSE 0 END AS c2,
-         CASE WHEN k.history IS NULL THEN CASE WHEN side THEN st ELSE sb END - CASE WHEN side = k.mine THEN 1 ELSE 0 END
-              ELSE CASE WHEN side THEN hw.t ELSE hw.b END - CASE WHEN side = k.mine THEN oh.c ELSE 0 END END AS ch
-  FROM tokens AS k CROSS JOIN sides CROSS JOIN scales
+  SELECT k.r, side, s, v, CASE WHEN side = 'a' OR (side = 't') = k.mine THEN 1 ELSE 0 END AS own,
+         size - own * k.n AS size, sides.t * words.t + sides.a * words.a - own * ow.c AS c1, sides.t * pairs.t + sides.a * pairs.a - own * op.c AS c2,
+         CASE WHEN k.history IS NULL THEN starts - own ELSE sides.t * hw.t + sides.a * hw.a - own * oh.c END AS ch
+  FROM tokens AS k CROSS JOIN sides
   JOIN words ON words.word = k.word
   JOIN pairs ON pairs.word = k.word AND pairs.history IS NOT DISTINCT FROM k.history
   JOIN own_words AS ow ON ow.r = k.r AND ow.word = k.word
@@ -278,6 +279,6 @@ counted AS (
   LEFT JOIN own_words AS oh ON oh.r = k.r AND oh.word = k.history),
 losses AS (
   SELECT r, side, avg(-ln((s * c2 + {BACKOFF} * (s * c1 + {ADDED}) / (s * size + {ADDED} * v)) / (s * ch + {BACKOFF}))) AS loss FROM counted GROUP BY r, side)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(t.loss, 6) AS target_loss, round(b.loss, 6) AS background_loss, round(t.loss - b.loss, 6) AS score
-FROM docs LEFT JOIN losses AS t ON t.r = docs.r AND t.side LEFT JOIN losses AS b ON b.r = docs.r AND NOT b.side
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(t.loss, 6) AS target_loss, round(b.loss, 6) AS background_loss, round(t.loss - b.loss, 6) AS score, round(a.loss, 6) AS corpus_loss
+FROM docs LEFT JOIN losses AS t ON t.r = docs.r AND t.side = 't' LEFT JOIN losses AS b ON b.r = docs.r AND b.side = 'b' LEFT JOIN losses AS a ON a.r = docs.r AND a.side = 'a'
 """

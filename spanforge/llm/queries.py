@@ -67,7 +67,7 @@ def op7_lm_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     scored = lm_scoring.score(table(spark, sf_dir, "documents"), good)
     # Six decimals, so that the order of a sum does not show.
-    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score")})
+    return scored.withColumns({c: F.round(c, 6) for c in ("target_loss", "background_loss", "score", "corpus_loss")})
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -232,26 +232,27 @@ def test_held_out_rows_teach_nothing(spark):
 
 
 def brute_scores(docs, wanted):
-    """(id, words, target loss, background loss) by strings: each document is left out of the counts that score it."""
+    """(id, words, losses by target, background and whole corpus) by strings: each document is left out of the counts that score it."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = [[w.translate(low) for w in words(t)] for _, t in docs]
     vocabulary = len({w for c in cut for w in c}) + 1
     mine = [i in wanted for i, _ in docs]
-    sizes = [sum(len(c) for c, m in zip(cut, mine, strict=True) if m is side) for side in (True, False)]
+    sides = ([True], [False], [True, False])
+    sizes = [sum(len(c) for c, m in zip(cut, mine, strict=True) if m in side) for side in sides]
     counts = []
-    for side in (True, False):
+    for side in sides:
         one, two = Counter(), Counter()
         for c, m in zip(cut, mine, strict=True):
-            if m is side:
+            if m in side:
                 one.update(c + [None] * bool(c))
                 two.update(zip([None, *c], c, strict=False))
         counts.append((one, two))
     out = []
     for (i, _), c, m in zip(docs, cut, mine, strict=True):
         means = []
-        for side, (one, two), n in zip((True, False), counts, sizes, strict=True):
-            s = sizes[0] / sizes[1] if not side and all(sizes) else 1.0
-            if m is side:
+        for side, (one, two), n in zip(sides, counts, sizes, strict=True):
+            s = sizes[0] / sizes[1] if side == [False] and all(sizes) else 1.0
+            if m in side:
                 one, two, n = one - Counter(c + [None] * bool(c)), two - Counter(zip([None, *c], c, strict=False)), n - len(c)
             loss = [-np.log((s * two[h, w] + 8 * (s * one[w] + 0.1) / (s * n + 0.1 * vocabulary)) / (s * one[h] + 8)) for h, w in zip([None, *c], c, strict=False)]
             means.append(np.mean(loss) if loss else None)
@@ -264,7 +265,7 @@ def assert_scores(got, expected):
     for r, e in zip(sorted(got, key=key), sorted(expected, key=key), strict=True):
         assert (r.doc_id, r.n_tokens) == e[:2]
         if r.n_tokens:
-            assert np.allclose([r.target_loss, r.background_loss, r.score], [e[2], e[3], e[2] - e[3]], rtol=1e-9)
+            assert np.allclose([r.target_loss, r.background_loss, r.score, r.corpus_loss], [e[2], e[3], e[2] - e[3], e[4]], rtol=1e-9)
         else:
             assert r.target_loss is None and r.background_loss is None and r.score is None
 
@@ -305,7 +306,7 @@ def test_a_repeated_document_stands_out(spark):
     draw = random.Random(12)
     docs = [(i, " ".join(f"w{draw.randrange(400)}" for _ in range(80))) for i in range(100)]
     docs.append((100, docs[7][1]))
-    got = {r.doc_id: r.background_loss for r in lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), spark.createDataFrame([(i,) for i in range(50, 70)], "doc_id long")).collect()}
+    got = {r.doc_id: r.corpus_loss for r in lm_scoring.score(table(spark, [(i, t, None, None) for i, t in docs]), spark.createDataFrame([(i,) for i in range(50, 70)], "doc_id long")).collect()}
     assert max(got[7], got[100]) + 0.5 < min(v for i, v in got.items() if i not in (7, 100))
 
 
