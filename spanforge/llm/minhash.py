@@ -10,15 +10,17 @@
    fails against it is held against the smallest member as well.
 4. Candidates are confirmed on the full sets, and links become components.
 
-5. Where a bucket still holds several components, members outside the largest one are held against all others, block by
-   block; sketches sort most of these pairs out before texts are read.
+5. The buckets of one centre make a group. Where a group still holds several components, each member outside the
+   largest one meets all others with its full set, in cells of bounded size; a cell counts exact intersections by an
+   inverted list and returns no more links than join its components, so nothing grows with the square of a group.
 
-A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6, and agrees in too few bins with 1e-6;
-other links are not missed.
+A pair at similarity 0.8 shares no bucket with probability (1 - 0.8^4)^24 = 3e-6; other links are not missed.
 
 Defined cases: a null or blank text has an empty set, is linked with nothing and keeps its own id; rows with one
 doc_id are rows of their own and each gets its class's answer; a null doc_id gets the answer of rows with an equal set,
-or null and kept where only null ids have that set; other columns are ignored; an empty table gives an empty result.
+or null and kept where only null ids have that set; of equally good centres the one with the greater set_id is taken,
+which changes no component; a text of any length is one set, held whole by one task; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +39,8 @@ from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 24, 4
 BINS = BANDS * ROWS
-#: Members of a mixed bucket that are held in one block.
-BLOCK = 512
-#: The number of equal bins below which a pair is left (77 are expected at 0.8, and this is 4.9 deviations below).
-LEAST_AGREEMENT = 58
+#: Shingles, over all sets, of one block of a group; two blocks make a cell.
+BLOCK = 1 << 20
 #: Ids that may be broadcast (some 40 bytes each).
 BROADCAST_IDS = 500_000
 
@@ -95,93 +95,104 @@ def shared_buckets(classes: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket")
 
 
-def star(rows: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b) of set ids: links from each bucket's centres to its members, the centre first."""
+def centred(rows: DataFrame) -> DataFrame:
+    """Members (set_id, n_shingles) of buckets with their buckets' centres `first` and `second`, each (id, n)."""
     company = rows.groupBy("set_id").agg(F.sum("members").alias("company"))
     rows = rows.join(company, "set_id")
-    me = F.struct("company", "set_id", "n_shingles")
-    centres = rows.groupBy("bucket").agg(F.max(me).alias("first"), F.min(F.struct("set_id", "n_shingles")).alias("second"))
-    pairs = rows.join(centres, "bucket").select(
-        F.explode(F.array(F.struct(F.col("first.set_id").alias("a"), F.col("first.n_shingles").alias("n")), F.struct(F.col("second.set_id").alias("a"), F.col("second.n_shingles").alias("n")))).alias("c"),
-        F.col("set_id").alias("b"),
-        "n_shingles",
-    )
-    near = pairs.where(f"c.a <> b and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
-    return near.select("c.a", "b").distinct()
+    me = F.struct("company", F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))
+    centres = rows.groupBy("bucket").agg(F.max(me).alias("first"), F.min(F.struct(F.col("set_id").alias("id"), F.col("n_shingles").alias("n"))).alias("second"))
+    return rows.join(centres, "bucket").select("set_id", "n_shingles", F.struct("first.id", "first.n").alias("first"), "second").distinct()
 
 
-def marks() -> F.Column:
-    """The low byte of each bin, which a candidate can carry along; equal bins have equal marks."""
-    return F.transform("sketch", lambda x: (x.bitwiseAND(255) - 128).cast("byte"))
+def star(members: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b) of set ids: links from each bucket's centres to its members, the centre first."""
+    pairs = members.select(F.explode(F.array("first", "second")).alias("c"), F.col("set_id").alias("b"), "n_shingles")
+    near = pairs.where(f"c.id <> b and 100 * least(c.n, n_shingles) >= {percent} * greatest(c.n, n_shingles)")
+    return near.select(F.col("c.id").alias("a"), "b").distinct()
 
 
-def rest(rows: DataFrame, found: DataFrame, classes: DataFrame, percent: int = 80) -> DataFrame:
-    """(a, b): all further candidates, for what the stars left apart.
+def mixed_groups(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(centre, set_id, root, asks, own, others): members of groups that hold several components of `found` (node, root).
 
-    In buckets that hold several components (node, root) every member outside the largest one is held against every
-    member of another component, so that after these candidates no bucket hides a link. A bucket is cut into blocks of
-    about `BLOCK` members by a hash, and a block of those outside meets each block of all members in a row group of its
-    own. Pairs with fewer than `LEAST_AGREEMENT` equal marks go before any text is read.
+    asks: the member lies outside the group's largest component; own, others: blocks of those that ask, and of all.
     """
-    weights = found.groupBy("root").agg(F.count("*").alias("weight"))
-    rooted = rows.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").join(weights, "root", "left")
-    rooted = durable(rooted.select("bucket", "set_id", "n_shingles", F.coalesce("root", "set_id").alias("root"), F.coalesce("weight", F.lit(1)).alias("weight")))
-    groups = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).groupBy("bucket")
-    mixed = groups.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.max(F.struct("weight", "root", "n")).alias("m")).where("groups > 1")
+    groups = members.select(F.col("first.id").alias("centre"), "set_id", "n_shingles").distinct()
+    rooted = groups.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = durable(rooted.select("centre", "set_id", "n_shingles", "root"))
+    sizes = rooted.groupBy("centre", "root").agg(F.sum("n_shingles").alias("n")).groupBy("centre")
+    mixed = sizes.agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("main")).where("components > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("long")
-    mixed = mixed.select("bucket", F.col("m.root").alias("main"), blocks(F.col("n")).alias("all"), blocks(F.col("n") - F.col("m.n")).alias("out"))
-    rooted = rooted.join(mixed, "bucket").join(classes.select("set_id", "marks"), "set_id")
-    rooted = rooted.select("bucket", "set_id", "n_shingles", F.xxhash64("root").alias("root"), "marks", "all", "out", (F.col("root") != F.col("main")).alias("asks"))
-    side = lambda asks, mine, other: rooted.where(asks).select("bucket", F.expr(f"pmod(xxhash64(set_id), {mine})").alias(mine[0]), F.explode(F.expr(f"sequence(0L, {other} - 1)")).alias(other[0]), F.lit(mine == "out").alias("asks"), "set_id", "n_shingles", "root", "marks")
-    met = side("asks", "out", "all").unionByName(side("true", "all", "out"))
-    met = met.select(F.xxhash64("bucket", "o", "a").alias("place"), "bucket", "o", "a", "asks", "set_id", "n_shingles", "root", "marks")
-    met = met.repartition("place").sortWithinPartitions("place", "bucket", "o", "a")
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = np.stack([table.column(c).to_numpy() for c in ("place", "bucket", "o", "a")])
-            last = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
-            if last:
-                yield from compared(table.slice(0, last), keys[:, :last])
-            held = table.slice(last)
-        if held is not None and held.num_rows:
-            yield from compared(held, np.stack([held.column(c).to_numpy() for c in ("place", "bucket", "o", "a")]))
-
-    def compared(table: pa.Table, keys: np.ndarray):
-        asks = table.column("asks").to_numpy()
-        n, root = table.column("n_shingles").to_numpy(), table.column("root").to_numpy()
-        mark = table.column("marks").combine_chunks().flatten().to_numpy().reshape(-1, BINS)
-        names = table.column("set_id").combine_chunks()
-        edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), keys.shape[1]]
-        for start, end in zip(edges, edges[1:], strict=False):
-            mine, other = (start + np.flatnonzero(asks[start:end] == x) for x in (True, False))
-            for at in range(0, len(mine), 64):
-                some = mine[at : at + 64]
-                i, j = np.nonzero((root[some][:, None] != root[other]) & (100 * np.minimum(n[some][:, None], n[other]) >= percent * np.maximum(n[some][:, None], n[other])))
-                for cut in range(0, len(i), 1 << 16):
-                    x, y = some[i[cut : cut + (1 << 16)]], other[j[cut : cut + (1 << 16)]]
-                    near = (mark[x] == mark[y]).sum(axis=1) >= LEAST_AGREEMENT
-                    if near.any():
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(x[near])), names.take(pa.array(y[near]))], names=["a", "b"])
-
-    pairs = met.mapInArrow(run, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-
-def class_texts(documents: DataFrame, needed: DataFrame, words: int = 2, few: bool = True) -> DataFrame:
-    """(set_id, text): one text for each class of needed (set_id, rep), found by its set and not by the id alone, since
-    rows with one doc_id may carry different texts."""
-    hint = "broadcast" if few else "merge"
+    mixed = mixed.select("centre", F.col("main.root").alias("main"), blocks(F.col("n")).alias("others"), blocks(F.col("n") - F.col("main.n")).alias("own"))
+    return rooted.join(mixed, "centre").select("centre", "set_id", "root", (F.col("root") != F.col("main")).alias("asks"), "own", "others")
+
+
+def links_in_cell(asking: list[np.ndarray], sets: list[np.ndarray], percent: int = 80):
+    """For each set of `asking`, the places of those in `sets` that it is linked with."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for mine in asking:
+        low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        yield np.flatnonzero(100 * common >= percent * (len(mine) + sizes - common))
+
+
+def rest(mixed: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """(a, b): links that join components of mixed groups. sets: (set_id, hashes) of their members.
+
+    Both sides are cut into blocks by a hash; a block of those that ask meets each block of all members in one cell.
+    """
+    rows = mixed.join(sets, "set_id")
+    number = lambda n: F.pmod(F.xxhash64("set_id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    columns = ("set_id", "root", "hashes")
+    met = rows.where("asks").select("centre", number("own").alias("o"), each("others").alias("a"), F.lit(True).alias("asks"), *columns)
+    met = met.unionByName(rows.select("centre", each("own").alias("o"), number("others").alias("a"), F.lit(False).alias("asks"), *columns))
+
+    def cell(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table.column("asks").to_pylist(), bool)
+        ids, roots = table.column("set_id").to_pylist(), table.column("root").to_pylist()
+        hashes = [np.frombuffer(h, np.uint64) for h in table.column("hashes").to_pylist()]
+        mine, others = np.flatnonzero(asks).tolist(), np.flatnonzero(~asks).tolist()
+        up: dict[bytes, bytes] = {}
+
+        def top(root: bytes) -> bytes:
+            while root in up:
+                root = up[root]
+            return root
+
+        pairs = []
+        for i, near in zip(mine, links_in_cell([hashes[i] for i in mine], [hashes[j] for j in others], percent), strict=True):
+            for j in near.tolist():
+                x, y = top(roots[i]), top(roots[others[j]])
+                if x != y:
+                    up[x] = y
+                    pairs.append((ids[i], ids[others[j]]))
+        return pa.table({n: pa.array([p[k] for p in pairs], pa.binary()) for k, n in enumerate("ab")})
+
+    return met.groupBy("centre", "o", "a").applyInArrow(cell, "a binary, b binary")
+
+
+def of_classes(documents: DataFrame, needed: DataFrame, words: int, column: str) -> DataFrame:
+    """(set_id, text or hashes): one text, or its set, of each class of needed (set_id, rep), found by the set and not
+    by the id alone, since rows with one doc_id may carry different texts."""
+    # A few ids find their texts where these lie; beyond the bound texts are shuffled to them.
+    hint = "broadcast" if needed.count() <= BROADCAST_IDS else "merge"
     rows = ids_and_texts(documents).join(needed.select(F.col("rep").alias("doc_id")).distinct().hint(hint), "doc_id", "left_semi")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests = [digest(s) if len(s) else None for s in shingle_sets(*text_bytes(batch.column(1)), words)]
-        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(1)], names=["set_id", "text"])
+        sets = shingle_sets(*text_bytes(batch.column(1)), words)
+        digests = [digest(s) if len(s) else None for s in sets]
+        values = batch.column(1) if column == "text" else pa.array([s.tobytes() for s in sets], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), values], names=["set_id", column])
 
-    named = map_steps(rows.select("doc_id", "text"), step, "set_id binary, text string")
-    return named.join(needed.select("set_id").hint(hint), "set_id", "left_semi").groupBy("set_id").agg(F.first("text").alias("text"))
+    named = map_steps(rows.select("doc_id", "text"), step, f"set_id binary, {column} {'string' if column == 'text' else 'binary'}")
+    named = named.join(needed.select("set_id").hint(hint), "set_id", "left_semi")
+    return named.groupBy("set_id").agg(F.first(column).alias(column))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
@@ -210,21 +221,15 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
     sketched = durable(sketch_documents(documents, words))
     members = sketched.where("set_id is not null").groupBy("set_id")
     classes = members.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    rows = durable(shared_buckets(classes.where("rep is not null")))
-    # From here on only classes that share a bucket matter.
-    near = durable(classes.join(rows.select("set_id").distinct(), "set_id").select("set_id", "rep", marks().alias("marks")))
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(near, "set_id").select("set_id", "rep"))
-        # A few ids find their texts where these lie; beyond the bound texts are shuffled to them.
-        texts = class_texts(documents, needed, words, needed.count() <= BROADCAST_IDS)
-        return durable(confirm(pairs, texts, words, percent))
-
-    links = confirmed(star(rows, percent))
-    links = links.unionByName(confirmed(rest(rows, components(links), near, percent)))
-    found = components(links)
+    rows = durable(centred(shared_buckets(classes.where("rep is not null"))))
     reps = members.agg(F.min("doc_id").alias("rep"))
+    pairs = durable(star(rows, percent))
+    needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id"))
+    links = durable(confirm(pairs, of_classes(documents, needed, words, "text"), words, percent))
+    mixed = durable(mixed_groups(rows, components(links)))
+    needed = durable(mixed.select("set_id").distinct().join(reps, "set_id"))
+    links = links.unionByName(durable(rest(mixed, of_classes(documents, needed, words, "hashes"), percent)))
+    found = components(links)
     found = found.join(reps.withColumnRenamed("set_id", "node"), "node")
     roots = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("set_id"), "component_id")
