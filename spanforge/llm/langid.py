@@ -3,29 +3,37 @@
 Features are the 1- to 3-grams of lower-cased characters, hashed to `BUCKETS`. A text's vector is its n-gram counts
 times inverse document frequency, scaled to sum to one, so that a text of any length is one weighted mean of weights
 and no n-gram has to be looked up twice. Document frequencies come from one pass over all training documents. Weights
-are fitted with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded, hash-chosen
-sample of training documents; a temperature is then fitted on a part of the sample that the weights did not see.
+are fitted with follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded sample: for each language the `SAMPLE_PER_LANGUAGE` training
+documents of smallest hash of id and text, equal rows counted once. A temperature is then fitted on a part of the sample
+that the weights did not see, and the same part gives each language the least chance that a document of it may have.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; a null lang trains nothing but is
-predicted; texts of any length are used whole; without any training document everything with letters is `und` with
-score 0; rows with one doc_id are predicted each; other columns are ignored.
+predicted; texts of any length are used whole; without any training document (as in an empty table) everything with
+letters is `und` with score 0; of equally likely languages the first by name is taken; rows with one doc_id, null ids
+too, are rows of their own, learned from if their texts differ, and predicted each; of more than `LANGUAGES` values of
+lang the commonest are learned; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import map_steps, steps
+from .durable import durable
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: Expected number of documents for each language in the sample that weights and temperature are fitted on.
-SAMPLE_PER_LANGUAGE = 600
+#: Documents for each language in the sample that weights and temperature are fitted on, and languages at most: the
+#: bounds of what comes to the driver.
+SAMPLE_PER_LANGUAGE, LANGUAGES = 600, 300
+#: Share of the least own chance met in the temperature's part that a document must reach to be kept.
+LEAST_SHARE = 0.5
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 20.0, 1.0, 0.002, 0.0002
 #: Bytes of text that are turned into n-grams at once; their arrays take about sixty times as much.
@@ -63,6 +71,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
+    least: np.ndarray | None = None
 
     def logits(self, buckets: np.ndarray, starts: np.ndarray) -> np.ndarray:
         table = np.concatenate([self.weights * self.idf[:, None], self.idf[:, None]], axis=1).astype(np.float32)
@@ -80,6 +89,12 @@ class Model:
         names = [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)]
         return names, np.where(letters, chances[np.arange(len(best)), best], 0.0)
 
+    def accepts(self, texts: list[str | None]) -> np.ndarray:
+        """Whether a text has a letter and a language that is likely enough."""
+        names, scores = self.predict(texts)
+        least = dict(zip(self.languages, np.zeros(len(self.languages)) if self.least is None else self.least, strict=True))
+        return np.array([n != UNKNOWN and s >= least[n] for n, s in zip(names, scores.tolist(), strict=True)], bool)
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -91,31 +106,53 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def document_frequencies(training: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many of the texts each bucket occurs, and the number of texts; one partial vector per task, summed by
-    bucket, so that the driver gets BUCKETS numbers whatever the input."""
+def surveyed(training: DataFrame, per_language: int) -> tuple[np.ndarray, int, dict[str, int]]:
+    """In how many training texts (lang, text, key) each bucket occurs, the number of texts, and for each language the
+    largest key of its sample, the `per_language` smallest ones.
+
+    A task gives one partial vector and its smallest keys, so that the driver gets BUCKETS numbers and a key for each
+    language whatever the input.
+    """
 
     def count(batches):
         total, n = np.zeros(BUCKETS, np.int64), 0
-        for part in steps(batches, 0, STEP_BYTES):
-            texts = part.column(0).to_pylist()
+        smallest: dict[str, np.ndarray] = {}
+        met: Counter[str] = Counter()
+        for part in steps(batches, 1, STEP_BYTES):
+            texts = part.column(1).to_pylist()
             buckets, starts, _ = grams(texts)
             n += len(texts)
             for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
                 total[np.flatnonzero(np.bincount(buckets[a:b].ravel(), minlength=BUCKETS)) if b - a > 4000 else np.unique(buckets[a:b])] += 1
+            langs, keys = np.array(part.column(0).to_pylist(), object), part.column(2).to_numpy()
+            met.update(langs.tolist())
+            for name in set(langs.tolist()):
+                mine = np.concatenate([smallest.get(name, np.zeros(0, np.int64)), keys[langs == name]])
+                smallest[name] = np.unique(mine)[:per_language]
         if n:
             filled = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *filled.tolist()], pa.int32()), pa.array([n, *total[filled].tolist()], pa.int64())], names=["bucket", "n"])
-
-    rows = training.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    found = np.zeros(BUCKETS, np.int64)
-    inner = rows[rows.bucket >= 0]
-    found[inner.bucket.to_numpy()] = inner.n.to_numpy()
-    return found, int(rows[rows.bucket < 0].n.sum())
+            rows = [("n", "", n), *[("bucket", str(b), int(total[b])) for b in filled], *[("lang", k, v) for k, v in met.items()]]
+            rows += [("key", k, int(v)) for k, vs in smallest.items() for v in vs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "name", "n"])
+
+    found = durable(training.select("lang", "text", "key").mapInArrow(count, "kind string, name string, n long"))
+    sums = found.where("kind <> 'key'").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    texts = sums.where("kind = 'n'").first()
+    if texts is None:
+        return np.zeros(BUCKETS, np.int64), 0, {}
+    seen = np.zeros(BUCKETS, np.int64)
+    inner = sums.where("kind = 'bucket'").toPandas()
+    seen[inner.name.astype(int).to_numpy()] = inner.n.to_numpy()
+    common = sums.where("kind = 'lang'").orderBy(F.desc("n"), "name").limit(LANGUAGES).select("name")
+    place = F.row_number().over(Window.partitionBy("name").orderBy("n"))
+    keys = found.where("kind = 'key'").join(F.broadcast(common), "name").select("name", "n").distinct().withColumn("place", place).where(F.col("place") <= per_language)
+    last = keys.groupBy("name").agg(F.max("n").alias("n"))
+    return seen, texts.n, {r["name"]: r["n"] for r in last.collect()}
 
 
 def vectors(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
-    """(lang, part, buckets, values) of each sampled document; part 0 is kept for the temperature."""
+    """(lang, part, buckets, values) of each sampled document (lang, text, part, key), in the order of keys; part 0 is kept
+    for the temperature."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         buckets, starts, _ = grams(batch.column(1).to_pylist())
@@ -125,10 +162,10 @@ def vectors(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int, np.ndarr
             x = counts * idf[which]
             places.append(which.astype(np.int32))
             values.append((x / max(x.sum(), 1e-12)).astype(np.float32))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "part", "at", "x"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "part", "key", "at", "x"])
 
-    rows = map_steps(sample, step, "lang string, part int, at array<int>, x array<float>", most=STEP_BYTES).toPandas()
-    return [(r.lang, r.part, np.asarray(r.at, np.intp), np.asarray(r.x, np.float64)) for r in rows.sort_values(["lang", "part"], kind="stable").itertuples(index=False)]
+    rows = map_steps(sample, step, "lang string, part int, key long, at array<int>, x array<float>", most=STEP_BYTES).toPandas()
+    return [(r.lang, r.part, np.asarray(r.at, np.intp), np.asarray(r.x, np.float64)) for r in rows.sort_values(["lang", "key"]).itertuples(index=False)]
 
 
 def follow_the_leader(examples: list, languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,17 +198,15 @@ def follow_the_leader(examples: list, languages: list[str]) -> tuple[np.ndarray,
 def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on the documents (text, lang, doc_id) that are not held out."""
     training = documents.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in training.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(counts)
+    training = training.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", "text").alias("key"))
+    seen, n, last = surveyed(training, per_language)
+    languages = sorted(last)
     if not languages:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0))
-    seen, n = document_frequencies(training)
     idf = np.log((1 + n) / (1 + seen)) + 1
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.element_at(F.create_map(*[F.lit(x) for name in languages for x in (name, min(1.0, per_language / counts[name]))]), F.col("lang"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)).cast("int")
-    chosen = training.where(draw < share).select("lang", "text", part.alias("part"))
-    examples = vectors(chosen, idf)
+    bound = F.element_at(F.create_map(*[F.lit(x) for item in last.items() for x in item]), F.col("lang"))
+    chosen = training.where(F.col("key") <= bound).dropDuplicates(["lang", "key"])
+    examples = vectors(chosen.select("lang", "text", F.pmod(F.xxhash64("key"), F.lit(5)).cast("int").alias("part"), "key"), idf)
     fitted, kept = [e for e in examples if e[1]] or examples, [e for e in examples if not e[1]] or examples
     weights, bias = follow_the_leader(fitted, languages)
     scores = np.array([x @ weights[at] + bias for _, _, at, x in kept])
@@ -185,7 +220,9 @@ def fit(documents: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
         return -((1 - doubt) * own + doubt * (logs.sum(axis=1) - own)).mean()
 
     temperature = min(np.geomspace(0.05, 20, 121), key=loss)
-    return Model(languages, idf, weights, bias, float(temperature))
+    chances = softmax(scores / temperature)[np.arange(len(truth)), truth]
+    least = np.array([LEAST_SHARE * min(chances[truth == k], default=0.0) for k in range(len(languages))])
+    return Model(languages, idf, weights, bias, float(temperature), least)
 
 
 def predict(documents: DataFrame, model: Model) -> DataFrame:
@@ -200,13 +237,13 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     return map_steps(rows, step, "doc_id long, held_out boolean, lang_pred string, score double", most=STEP_BYTES)
 
 
-def filter_documents(documents: DataFrame, model: Model, least: float) -> DataFrame:
-    """documents, all columns, without those that have no letter or no language with a chance of at least `least`."""
+def filter_documents(documents: DataFrame, model: Model) -> DataFrame:
+    """documents, all columns, without those that have no letter, or whose likeliest language is less likely than
+    LEAST_SHARE of the least that its known documents have."""
     sent = documents.sparkSession.sparkContext.broadcast(model)
     place = documents.columns.index("text")
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, scores = sent.value.predict(batch.column(place).to_pylist())
-        return batch.filter(pa.array((np.array(names, object) != UNKNOWN) & (scores >= least)))
+        return batch.filter(pa.array(sent.value.accepts(batch.column(place).to_pylist())))
 
     return map_steps(documents, step, documents.schema, place, STEP_BYTES)

@@ -212,7 +212,7 @@ def test_language_id(spark, nothing):
     assert np.mean([out[i].lang_pred == truth[i] for i in held]) > 0.97
     assert [(out[i].lang_pred, out[i].score) for i in (1000, 1001, 1002)] == [("und", 0.0)] * 3
     assert out[None].lang_pred == "de" and all(0 <= r.score <= 1 for r in out.values())
-    kept = langid.filter_documents(docs, model, 0.3)
+    kept = langid.filter_documents(docs, model)
     assert kept.columns == docs.columns and kept.count() == len(rows) + 1
     empty = langid.fit(nothing)
     assert langid.predict(nothing, empty).count() == 0
@@ -226,6 +226,93 @@ def test_language_does_not_depend_on_neighbours():
     assert together.tolist() == alone
 
 
+def plain_grams(text):
+    """Bucket counts of a text's 1- to 3-grams, by whole numbers and one gram at a time."""
+    low = f"  {text.lower()}  "
+    codes = [32 if c in "\n\t\r" else ord(c) for c in low]
+    out = Counter()
+    for i in range(len(codes)):
+        h = 0
+        for k, factor in enumerate((0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+            h = (h + (codes[i - k] if i >= k else 32) + k + 1) * factor % 2**32
+            h ^= h >> 15
+            out[(h * 0x27D4EB2F % 2**32) >> 17] += 1
+    return out
+
+
+def plain_ftrl(examples, languages):
+    """FTRL-proximal with elastic net, one coordinate at a time."""
+    z, n = ({(b, k): 0.0 for b in range(langid.BUCKETS + 1) for k in range(len(languages))} for _ in range(2))
+
+    def weight(c):
+        if abs(z[c]) <= langid.L1:
+            return 0.0
+        sign = 1 if z[c] > 0 else -1
+        return -(z[c] - sign * langid.L1) / ((langid.BETA + n[c] ** 0.5) / langid.ALPHA + langid.L2)
+
+    order = np.random.default_rng(5)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(examples)):
+            lang, x = examples[i]
+            w = {(b, k): weight((b, k)) for b in x for k in range(len(languages))}
+            score = [sum(v * w[b, k] for b, v in x.items()) for k in range(len(languages))]
+            e = [np.exp(s - max(score)) for s in score]
+            for k, name in enumerate(languages):
+                gap = e[k] / sum(e) - (name == lang)
+                for b, v in x.items():
+                    g = gap * v
+                    sigma = ((n[b, k] + g * g) ** 0.5 - n[b, k] ** 0.5) / langid.ALPHA
+                    z[b, k] += g - sigma * w[b, k]
+                    n[b, k] += g * g
+    return weight
+
+
+def test_language_model_equals_a_plain_one(spark):
+    rows = language_rows()[:40]
+    model = langid.fit(table(spark, rows))
+    training = [(t, lang) for i, t, lang, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    seen = Counter(b for t, _ in training for b in plain_grams(t))
+    idf = {b: np.log((1 + len(training)) / (1 + seen[b])) + 1 for b in range(langid.BUCKETS)}
+    assert np.allclose(model.idf, [idf[b] for b in range(langid.BUCKETS)])
+
+    def vector(t):
+        x = {b: c * idf[b] for b, c in plain_grams(t).items()}
+        return {b: v / sum(x.values()) for b, v in x.items()}
+
+    texts = [t for _, t, _, _ in rows]
+    plain = [[sum(v * model.weights[b, k] for b, v in vector(t).items()) + model.bias[k] for k in range(3)] for t in texts]
+    buckets, starts, _ = langid.grams(texts)
+    assert np.allclose(model.logits(buckets, starts), plain, rtol=1e-4, atol=1e-5)
+    few = [(lang, vector(t)) for t, lang in training[:12]]
+    names = sorted({lang for lang, _ in few})
+    weights, bias = langid.follow_the_leader([(lang, 1, np.array(list(x), np.intp), np.array(list(x.values()))) for lang, x in few], names)
+    weight = plain_ftrl([(lang, {**x, langid.BUCKETS: 0.05}) for lang, x in few], names)
+    met = sorted({b for _, x in few for b in x})
+    assert np.allclose(weights[met], [[weight((b, k)) for k in range(len(names))] for b in met])
+    assert np.allclose(bias, [0.05 * weight((langid.BUCKETS, k)) for k in range(len(names))])
+
+
+def test_one_hot_id(spark):
+    """All rows under one id, many of them equal: the sample is bounded, counts equal rows once and is never empty."""
+    texts = [(t, lang) for _, t, lang, _ in language_rows()[:60]]
+    for i in (7, 8, 11, None):
+        rows = [(i, t, lang, None) for t, lang in texts] + [(i, "ein sch ung der", "de", None)] * 3000
+        model = langid.fit(table(spark, rows), 20)
+        if i is None or zlib.crc32(str(i).encode()) % 5 == 0:
+            assert model.languages == []
+        else:
+            assert model.languages == ["de", "en", "es"] and np.isfinite(model.temperature)
+            assert langid.predict(table(spark, rows), model).where("lang_pred = lang_pred").count() == len(rows)
+
+
+def test_unlikely_texts_are_rejected(spark):
+    model = langid.fit(table(spark, language_rows()))
+    assert (model.least > 1 / 4).all()
+    doubtful = langid.Model(["a", "b", "c"], np.ones(langid.BUCKETS), np.zeros((langid.BUCKETS, 3)), np.zeros(3), 1.0, np.full(3, 0.4))
+    assert doubtful.accepts(["any text", "12"]).tolist() == [False, False]
+    assert model.accepts([t for _, t, _, _ in language_rows()]).mean() > 0.99
+
+
 def test_held_out_rows_teach_nothing(spark):
     rows = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 5 == 0 else lang, s) for i, t, lang, s in language_rows()]
     assert "zz" not in langid.fit(table(spark, rows)).languages
