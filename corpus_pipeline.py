@@ -3,7 +3,7 @@
 Each stage reads what its predecessor wrote. All but the last return the columns of `documents`:
 
 1. language ID: documents that the model rejects go, that is those without a letter (`und`) and those whose best
-   language has a calibrated chance below `LEAST_CHANCE`;
+   language is less likely than half of the least that held-out documents of that language have;
 2. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays;
 3. PII: spans become the name of their kind in brackets;
 4. mixing: sources are brought to their target weights; a document stands as often as the mix takes it, and the one at
@@ -23,13 +23,9 @@ from pyspark.sql import functions as F
 from spanforge.llm import bpe, langid, minhash, mixing, pii
 from spanforge.llm.queries import tokenizer_path
 
-#: With four languages a guess has 0.25; real text is near 1.
-LEAST_CHANCE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = langid.fit(docs)
-    return langid.filter_documents(docs, model, LEAST_CHANCE)
+    return langid.filter_documents(docs, langid.fit(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
