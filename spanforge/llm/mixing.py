@@ -5,14 +5,18 @@ target stops at `EPOCHS` times what its source has; what it can't take goes to t
 above. That fixed point is min(EPOCHS * size, level * weight) with one level for all, found by prefix sums over the
 sources in order of the ratio at which they fill up.
 
-Within a source documents stand in the order of a hash of their id. The range of that hash is cut into equal parts, so
-a source of any size is spread over as many parts as its rows need; sums per part, a running sum over parts and a
-running sum inside each part give every document its exact place. Whole epochs go to all documents; the rest of the
-budget is cut at that place, inside a document if need be.
+Within a source documents stand in the order of a hash of their id and text. Whole epochs go to all documents; the rest
+of the budget ends at one place of that order, the cut. The range of the hash is divided into equal parts, so that a
+source of any size is spread over as many parts as its rows need. Sums per part (aggregated before any shuffle) and
+their running sums find the part of the cut, sums per hash inside that part find its hash, and of rows that share even
+that, which are equal rows, each gets a number, again by parts. All other documents only compare their hash with their
+source's cut, so that neither texts nor rows are sorted or shuffled for it.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; rows with one doc_id are
-documents of their own, in the order of size and text; a source without words gets nothing; an empty table gives an
-empty result; other columns, whatever their names, are kept by `mix` and `expand`, ignored by the query.
+documents of their own, as are null ids; equal rows share a place in the order, and it does not matter which of them is
+cut; a source without words gets nothing; a text of any length is one document, cut after a word if the budget ends in
+it; an empty table gives an empty result; other columns, whatever their names, are kept by `mix` and `expand`, ignored
+by the query.
 """
 
 from __future__ import annotations
@@ -20,10 +24,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .durable import durable
+
 EPOCHS = 3
-#: Documents that one part of a source's hash range holds on average at most, and the number of parts that the hash's
-#: leading 16 bits can tell apart.
-PART_ROWS, MOST_PARTS = 50_000, 65_536
+#: Documents that one part of the hash range holds on average at most, and the number of parts that the hash's leading
+#: 20 bits can tell apart.
+PART_ROWS, MOST_PARTS = 4096, 1 << 20
+#: Sources whose cuts may be broadcast (some 200 bytes each).
+BROADCAST_SOURCES = 20_000
 SEED = "mix"
 #: Characters that do not belong to words: blank and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,8 +41,8 @@ def sized(documents: DataFrame, seed: str = SEED) -> DataFrame:
     """(row, source, size, key) of documents: the whole row, its source, the words of its text and the hash that
     orders its source. Columns of documents stay inside `row`, whatever their names."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return documents.select(F.struct("*").alias("row"), F.col("source").alias("source"), size.alias("size"), key.alias("key"))
+    named = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col("text"), F.lit("")))
+    return documents.select(F.struct("*").alias("row"), F.col("source").alias("source"), size.alias("size"), F.md5(named.cast("binary")).alias("key"))
 
 
 def targets(sources: DataFrame) -> DataFrame:
@@ -54,51 +62,100 @@ def targets(sources: DataFrame) -> DataFrame:
     return filled.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.col("chosen")).alias("target"))
 
 
-def mix(rows: DataFrame, parts: int | None = None) -> DataFrame:
-    """(row, size, source_size, target, taken) of `sized` rows; taken: words that the mix takes, repeats counted."""
-    parts = parts or min(MOST_PARTS, 1 + rows.count() // PART_ROWS)
-    part = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * parts / MOST_PARTS)
-    rows = rows.withColumn("part", part)
-    by_part = rows.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_part.withColumn("part_start", F.coalesce(F.sum("part_size").over(running), F.lit(0)))
-    goals = targets(by_part.groupBy("source").agg(F.sum("part_size").alias("source_size")))
-    plan = offsets.join(goals, offsets["source"].eqNullSafe(goals["source"])).select(
-        offsets["source"].alias("plan_source"), F.col("part").alias("plan_part"), "part_start", "source_size", "target"
-    )
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]) & (F.col("part") == F.col("plan_part")))
-    fields = rows.schema["row"].dataType.names
-    ties = [F.col("row")[c] for c in ("doc_id", "text") if c in fields]
-    inside = Window.partitionBy("source", "part").orderBy("key", *ties[:1], "size", *ties[1:])
-    start = F.col("part_start") + F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+def running(name: str, order: str, *by: str) -> F.Column:
+    """The sum of `name` over the rows of a group that come before in `order`."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(name).over(before), F.lit(0))
+
+
+def with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows beside the columns of plan, one row per source; the plan is broadcast if it is short."""
+    named = plan.withColumnRenamed("source", "plan_source")
+    named = F.broadcast(named) if plan.count() <= BROADCAST_SOURCES else named
+    return rows.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
+
+
+def cuts(slim: DataFrame, parts: int | None = None) -> DataFrame:
+    """(source, source_size, target, epochs, cut, left) of rows (source, size, key).
+
+    Documents with a hash below `cut` are taken once more after all epochs, those above are not, and those at it share
+    `left` words; a null cut leaves no more for any.
+    """
+    parts = parts or min(MOST_PARTS, 1 + slim.count() // PART_ROWS)
+    part = F.floor(F.conv(F.substring("key", 1, 5), 16, 10).cast("long") * parts / MOST_PARTS)
+    rows = slim.withColumn("part", part)
+    by_part = durable(rows.groupBy("source", "part").agg(F.sum("size").alias("n")))
+    goals = targets(by_part.groupBy("source").agg(F.sum("n").alias("source_size")))
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5D) as bigint) div source_size")).otherwise(0)
-    placed = joined.withColumn("start", start).withColumn("epochs", epochs)
-    rest = budget - F.col("epochs") * F.col("source_size") - F.col("start")
-    taken = F.col("epochs") * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))
-    return placed.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5D) as bigint) div source_size")).otherwise(0))
+    goals = durable(goals.withColumn("over", F.when(F.col("source_size") > 0, budget - F.col("epochs") * F.col("source_size")).otherwise(0)))
+    holds = (F.col("start") <= F.col("over")) & (F.col("over") < F.col("start") + F.col("n"))
+    place = with_source(by_part.withColumn("start", running("n", "part", "source")), goals).where(holds)
+    place = durable(place.select("source", "part", "start", "over").withColumnRenamed("part", "cut_part"))
+    inside = with_source(rows, place).where("part = cut_part")
+    by_key = inside.groupBy("source", "start", "over", "key").agg(F.sum("size").alias("n"))
+    by_key = by_key.withColumn("start", F.col("start") + running("n", "key", "source")).where(holds)
+    found = by_key.select(F.col("source").alias("cut_source"), F.col("key").alias("cut"), (F.col("over") - F.col("start")).alias("left"))
+    planned = goals.drop("over").join(found, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
+    return durable(planned)
+
+
+def at_cut(rows: DataFrame, planned: DataFrame) -> DataFrame:
+    """`rows` at their source's cut, with the columns of `planned` and the words of `left` that each is given as extra."""
+    here = with_source(rows, planned).where("key = cut").withColumn("tie", F.monotonically_increasing_id())
+    here = durable(here)
+    lots = 1 + here.count() // PART_ROWS
+    here = here.withColumn("lot", F.pmod(F.xxhash64("tie"), F.lit(lots)))
+    offsets = here.groupBy("source", "lot").agg(F.count("*").alias("rows")).withColumn("before", running("rows", "lot", "source"))
+    offsets = offsets.select(F.col("source").alias("lot_source"), F.col("lot").alias("its_lot"), "before")
+    both = here.join(offsets, F.col("source").eqNullSafe(F.col("lot_source")) & (F.col("lot") == F.col("its_lot")))
+    number = F.col("before") + F.row_number().over(Window.partitionBy("source", "lot").orderBy("tie")) - 1
+    extra = F.least(F.greatest(F.col("left") - number * F.col("size"), F.lit(0)), F.col("size"))
+    return both.withColumn("extra", extra.cast("long")).drop("tie", "lot", "lot_source", "its_lot", "before")
+
+
+def mix(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """(row, size, source_size, target, taken) of `sized` rows; taken: words that the mix takes, repeats counted.
+
+    `rows` is read three times; where that is costly, checkpoint it first, without texts.
+    """
+    planned = cuts(rows.select("source", "size", "key"), parts)
+    others = with_source(rows, planned).where("cut is null or key <> cut").withColumn("extra", F.expr("if(key < cut, size, 0L)"))
+    both = others.unionByName(at_cut(rows, planned))
+    taken = F.col("epochs") * F.col("size") + F.coalesce("extra", F.lit(0))
+    return both.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def expand(mixed: DataFrame) -> DataFrame:
+def expand(documents: DataFrame, parts: int | None = None) -> DataFrame:
     """The mix itself, with the columns of documents: a row for each whole copy that is taken, and one cut after its
-    last word where the budget ends. n_chars, if there, follows the text."""
-    whole = F.expr("if(size = 0, 0, taken div size)")
-    rest = F.expr("if(size = 0, 0, taken % size)")
-    copies = mixed.withColumns({"whole": whole, "rest": rest}).where("whole + rest > 0")
-    copies = copies.withColumn("copy", F.explode(F.expr("sequence(1, whole + if(rest > 0, 1, 0))")))
+    last word where the budget ends. n_chars, if there, follows the text.
+
+    Sizes and hashes are checkpointed without texts; texts stay where they are read.
+    """
+    rows = sized(documents)
+    slim = durable(rows.select("source", "size", "key"))
+    planned = cuts(slim, parts)
+    # Words are counted only at the cuts; elsewhere a document needs to know no more than that it has some.
+    unread = rows.drop("size").where(F.regexp_like(F.coalesce("row.text", F.lit("")), F.lit(WORD)))
+    others = with_source(unread, planned).where("cut is null or key <> cut")
+    whole = others.select("row", F.expr("cast(epochs + if(key < cut, 1, 0) as int)").alias("copies"), F.lit(0).cast("long").alias("rest"))
+    cut = at_cut(rows, planned).where("size > 0")
+    last = cut.select("row", F.expr("cast(epochs + (extra div size) as int)").alias("copies"), F.expr("extra % size").alias("rest"))
+    copies = whole.unionByName(last).where("copies > 0 or rest > 0")
+    copies = copies.withColumn("copy", F.explode(F.expr("sequence(1, copies + if(rest > 0, 1, 0))")))
     # The first `rest` words, each with the white space before it.
     words = F.slice(F.regexp_extract_all("row.text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("rest").cast("int"))
-    text = F.when(F.col("copy") <= F.col("whole"), F.col("row.text")).otherwise(F.array_join(words, ""))
-    cut = copies.withColumn("row", F.col("row").withField("text", text))
-    if "n_chars" in mixed.schema["row"].dataType.names:
-        cut = cut.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast("long")))
-    return cut.select("row.*")
+    text = F.when(F.col("copy") <= F.col("copies"), F.col("row.text")).otherwise(F.array_join(words, ""))
+    out = copies.withColumn("row", F.col("row").withField("text", text))
+    if "n_chars" in documents.columns:
+        out = out.withColumn("row", F.col("row").withField("n_chars", F.length("row.text").cast("long")))
+    return out.select("row.*")
 
 
 ORACLE = rf"""
 WITH docs AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key, text
+         md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(text, '')) AS key
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
 weighed AS (
@@ -115,7 +172,7 @@ goals AS (
   SELECT source, source_size, least(CAST(most AS DOUBLE), weight * (SELECT l FROM chosen)) AS target FROM filled),
 placed AS (
   SELECT doc_id, docs.source, size, source_size, target, CAST(floor(target + 0.5) AS BIGINT) AS budget,
-         CAST(sum(size) OVER (PARTITION BY docs.source ORDER BY key, doc_id, size, text ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
+         CAST(sum(size) OVER (PARTITION BY docs.source ORDER BY key ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start
   FROM docs JOIN goals ON docs.source IS NOT DISTINCT FROM goals.source)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE (budget // source_size) * size

@@ -43,8 +43,7 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Sizes are checkpointed without texts, so that texts are read and cut into words once.
-    rows = mixing.sized(table(spark, sf_dir, "documents"))
-    slim = rows.select(F.struct("row.doc_id").alias("row"), "source", "size", "key")
+    slim = mixing.sized(table(spark, sf_dir, "documents")).select(F.struct("row.doc_id").alias("row"), "source", "size", "key")
     return mixing.mix(durable(slim)).select("row.doc_id", "size", "source_size", "target", "taken")
 
 

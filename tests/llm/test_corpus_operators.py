@@ -178,14 +178,32 @@ def test_mix(spark, awkward, nothing):
         assert all(abs(r.target - wanted[s]) < 1e-6 * max(1, wanted[s]) and r.source_size == sizes[s] for r in mine)
         assert abs(sum(r.taken for r in mine) - wanted[s]) <= 0.5 + 1e-9
     assert all(0 <= r.taken <= 3 * r.size for r in got) and len(got) == len(rows)
-    out = mixing.expand(mixed)
+    out = mixing.expand(table(spark, rows), parts=4)
     assert out.columns == awkward.columns
     taken = Counter()
     for r in out.collect():
         taken[r.source] += len(words(r.text))
         assert r.n_chars == len(r.text)
     assert taken == Counter({s: round(wanted[s]) for s in sizes if round(wanted[s])})
-    assert mixing.mix(mixing.sized(nothing)).count() == 0 and mixing.expand(mixing.mix(mixing.sized(nothing))).count() == 0
+    assert mixing.mix(mixing.sized(nothing)).count() == 0 and mixing.expand(nothing).count() == 0
+
+
+def test_mix_of_equal_rows_and_ids(spark, monkeypatch):
+    """A cut inside many equal rows, and sources whose rows have one id or none; words are placed as a plain loop does."""
+    monkeypatch.setattr(mixing, "PART_ROWS", 16)
+    draw = random.Random(6)
+    rows = [(5, "a b c d e", "en", "a")] * 300 + [(None, "w " * draw.randrange(1, 9), "en", "b") for _ in range(150)] + [(9, f"x{i} y z", "en", "c") for i in range(20)]
+    for parts in (None, 1, 7):
+        got = mixing.mix(mixing.sized(table(spark, rows)), parts).select("row.source", "size", "taken", "target").collect()
+        for name in "abc":
+            mine = [r for r in got if r.source == name]
+            assert len(mine) == sum(r[3] == name for r in rows)
+            assert sum(r.taken for r in mine) == round(mine[0].target) and all(0 <= r.taken <= 3 * r.size for r in mine)
+            epochs = round(mine[0].target) // sum(r.size for r in mine)
+            assert sum(r.taken not in (epochs * r.size, (epochs + 1) * r.size) for r in mine) <= 1
+    made = mixing.expand(table(spark, rows)).collect()
+    for name in "abc":
+        assert sum(len(words(r.text)) for r in made if r.source == name) == sum(r.taken for r in got if r.source == name)
 
 
 def language_rows():
