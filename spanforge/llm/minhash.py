@@ -71,8 +71,13 @@ def digest(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
+def text_key(text: str = "text") -> F.Column:
+    """Tells rows with one doc_id apart by their texts."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def sketch_documents(documents: DataFrame, words: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, set_id, sketch): set_id is a 128-bit digest of the set, null for an empty one."""
+    """(doc_id, text_key, n_shingles, set_id, sketch): set_id is a 128-bit digest of the set, null for an empty one."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(*text_bytes(batch.column(1)), words)
@@ -80,11 +85,12 @@ def sketch_documents(documents: DataFrame, words: int = 2) -> DataFrame:
         flat = pa.array(sketches(sets).view(np.int32).ravel())
         sketch = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BINS, dtype=np.int32)), flat)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), sketch],
-            names=["doc_id", "n_shingles", "set_id", "sketch"],
+            [batch.column(0), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(digests, pa.binary()), sketch],
+            names=["doc_id", "text_key", "n_shingles", "set_id", "sketch"],
         )
 
-    return map_steps(ids_and_texts(documents), step, "doc_id long, n_shingles long, set_id binary, sketch array<int>")
+    rows = ids_and_texts(documents).withColumn("text_key", text_key())
+    return map_steps(rows, step, "doc_id long, text_key long, n_shingles long, set_id binary, sketch array<int>")
 
 
 def shared_buckets(classes: DataFrame) -> DataFrame:
@@ -218,6 +224,26 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 8
 
 def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of documents."""
+    out = classified(documents, words, percent).select("doc_id", "n_shingles", "component_id")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(documents: DataFrame, words: int = 2, percent: int = 80) -> DataFrame:
+    """documents, all columns, with one row of each group of near-duplicates: of the rows with its smallest doc_id the one
+    whose text has the smallest hash. Rows without words all stay, equal rows of them once. A row without an id counts as
+    one with a large id made of its text, so that it goes where any other row of its group has an id."""
+    made = F.lit(1 << 62) + F.pmod(text_key(), F.lit(1 << 61))
+    rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text")
+    groups = classified(rows, words, percent).where("doc_id = component_id")
+    kept = groups.where("group is not null").groupBy("group", "doc_id").agg(F.min("text_key").alias("text_key")).drop("group")
+    kept = kept.unionByName(groups.where("group is null").select("doc_id", "text_key"))
+    found = rows.withColumn("text_key", text_key()).join(kept, ["doc_id", "text_key"], "left_semi")
+    return found.dropDuplicates(["doc_id", "text_key"]).select("row.*")
+
+
+def classified(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """(doc_id, text_key, n_shingles, group, component_id) of every row of documents; group names the component, also where
+    components share an id, and is null for an empty set."""
     sketched = durable(sketch_documents(documents, words))
     members = sketched.where("set_id is not null").groupBy("set_id")
     classes = members.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
@@ -232,9 +258,8 @@ def near_duplicates(documents: DataFrame, words: int = 2, percent: int = 80) ->
     found = components(links)
     found = found.join(reps.withColumnRenamed("set_id", "node"), "node")
     roots = found.groupBy("root").agg(F.min("rep").alias("component_id"))
-    linked = found.join(roots, "root").select(F.col("node").alias("set_id"), "component_id")
-    answer = reps.join(linked, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "set_id").join(answer, "set_id", "left")
+    linked = found.join(roots, "root").select(F.col("node").alias("set_id"), "root", "component_id")
+    answer = reps.join(linked, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = sketched.select("doc_id", "text_key", "n_shingles", "set_id").join(answer, "set_id", "left")
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "text_key", "n_shingles", "group", component.alias("component_id"))

@@ -126,6 +126,34 @@ def test_one_id_with_different_texts(spark):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(docs)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Ids that name several texts, equal rows, rows without an id: one row for each group by brute force."""
+    draw = random.Random(9)
+    docs = []
+    for i in range(40):
+        text = [f"t{i}w{k}" for k in range(40)]
+        for _ in range(draw.randrange(1, 4)):
+            copy = list(text)
+            copy[draw.randrange(40)] = "other"
+            docs.append((draw.choice([None, i % 4, 100 + draw.randrange(9)]), " ".join(copy)))
+            docs += [docs[-1]] * draw.randrange(2)
+    docs += [(None, "alone without id"), (50, ""), (50, None), (50, "")]
+    got = minhash.one_of_each(table(spark, [(i, t, None, None) for i, t in docs]))
+    assert got.columns == table(spark, []).columns
+    rows = [(r.doc_id, r.text) for r in got.collect()]
+    full = [(n, t) for n, (_, t) in enumerate(docs)]
+    groups = {}
+    for n, _, root in brute_groups(full):
+        groups.setdefault(root, []).append(docs[n])
+    for members in groups.values():
+        stay = [r for r in rows if r in members]
+        if brute_set(members[0][1]):
+            named = [i for i, _ in members if i is not None]
+            assert len(stay) == 1 and stay[0][0] == (min(named) if named else None)
+    assert sum(1 for _, t in rows if brute_set(t)) == sum(1 for m in groups.values() if brute_set(m[0][1]))
+    assert sum(i == 50 for i, _ in rows) == 1
+
+
 def test_shingles_of_five_words():
     texts = [b"a b c d e f", b"A  b c\td e f", b"a b c", b"a b c d e g", b""]
     raw, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
