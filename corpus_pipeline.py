@@ -4,7 +4,8 @@ Each stage reads what its predecessor wrote. All but the last return the columns
 
 1. language ID: documents that the model rejects go, that is those without a letter (`und`) and those whose best
    language is less likely than half of the least that held-out documents of that language have;
-2. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays;
+2. MinHash near-dedup: of each group of near-duplicates the document with the smallest id stays, one text of it where an
+   id names several, the row without an id only where no other is in the group;
 3. PII: spans become the name of their kind in brackets;
 4. mixing: sources are brought to their target weights; a document stands as often as the mix takes it, and the one at
    the budget's edge is cut after its last word;
@@ -18,7 +19,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spanforge.llm import bpe, langid, minhash, mixing, pii
 from spanforge.llm.queries import tokenizer_path
@@ -29,10 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated rows are one document; rows without an id can't be named by the answer, so all of them stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["kept_id"]).select(*[docs[c] for c in docs.columns]).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.where("doc_id is null"))
+    return minhash.one_of_each(docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
