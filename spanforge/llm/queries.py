@@ -23,10 +23,10 @@ def tokenizer_path() -> str:
 
 
 def spans_digest(found: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """doc_id, the number of base spans of each kind (column name by kind), base_sha256 and spans."""
+    """doc_id, the number of base spans of each kind (column name by kind), base_sha256, spans and the number of these."""
     shown = "array_join(transform({0}, x -> concat_ws(':', x.kind, x.start, x.end)), ',')"
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = '{k}')) as bigint)").alias(n) for k, n in kinds.items()]
-    return found.select("doc_id", *counts, F.sha2(F.expr(shown.format("base")).cast("binary"), 256).alias("base_sha256"), F.expr(shown.format("spans")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(F.expr(shown.format("base")).cast("binary"), 256).alias("base_sha256"), F.expr(shown.format("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op1_pii_skip_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
