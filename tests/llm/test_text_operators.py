@@ -169,16 +169,36 @@ def test_secrets_query(spark, awkward, nothing):
 
 def test_network_keeps_recall_on_new_findings():
     network = secrets.train()
-    windows, truth = secrets.findings(1200, seed=77)
-    chances = network.chances(secrets.coded(windows))
+    pieces, truth = secrets.findings(1200, seed=77)
+    chances = network.chances(secrets.coded(pieces), np.arange(len(pieces)))
     assert (chances[truth > 0] >= network.threshold).mean() > 0.9
     assert (chances[truth == 0] >= network.threshold).mean() < 0.02
 
 
+def test_candidates_are_read_whole():
+    """A candidate's pieces cover it, and their maximum is that of one long window."""
+    draw = random.Random(3)
+    network = secrets.Network(2)
+    for size in (8, 12, 47, 48, 49, 92, 93, 300, 5000):
+        word = "".join(draw.choice("abcXYZ0123456789") for _ in range(size))
+        text = f"say {word} end"
+        assert secrets.candidates(text, []) == [(4, 4 + size)]
+        step = secrets.PIECE - secrets.SPAN + 1
+        pieces = [w[secrets.CONTEXT : -secrets.CONTEXT].rstrip("\0") for w in secrets.windows(text, 4, 4 + size)]
+        assert "".join([pieces[0], *[p[secrets.SPAN - 1 :] for p in pieces[1:]]]) == word and all(len(p) <= secrets.PIECE for p in pieces)
+        assert len(pieces) == max(1, -(-(size - secrets.SPAN + 1) // step))
+        codes = secrets.coded(secrets.windows(text, 4, 4 + size))
+        widest = max(network.chances(codes[i : i + 1], np.zeros(1, int))[0] for i in range(len(codes)))
+        both = network.chances(np.concatenate([codes, codes[:1]]), np.array([0, len(codes)]))
+        assert len(both) == 2 and np.isclose(both[1], network.chances(codes[:1], np.zeros(1, int))[0]) and (len(codes) > 1 or np.isclose(both[0], widest))
+    assert secrets.candidates("plain words Capital UPPERCASE 12ab", []) == []
+    assert secrets.candidates("aaaaaaaa1 bb", [(0, 2, 4)]) == [] and secrets.candidates("aaaaaaaa1 bb", [(10, 2, 12)]) == [(0, 9)]
+
+
 def test_gradients_are_right():
     network, (windows, truth) = secrets.Network(3), secrets.findings(12, seed=5)
     codes = secrets.coded(windows)
-    loss = lambda: float(np.mean(np.logaddexp(0, network.forward(codes)[0]) - truth * network.forward(codes)[0]))
+    loss = lambda: float(np.mean(np.logaddexp(0, network.forward(codes)) - truth * network.forward(codes)))
     for name, g in network.gradients(codes, truth).items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
         network.p[name][at] += 1e-5
