@@ -23,24 +23,55 @@ def empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-#: Characters before a match that `spans` gives on request, from the pieces of text that it has cut anyway.
-BEFORE = 120
+#: Elements that a growing array holds before it is put away whole: appending copies, so a fold that appends to one array
+#: would take time with the square of its length.
+LOT = 64
+
+
+def grown(state: Column, item: Column) -> list[Column]:
+    """The fields done and now of a fold's state, `item` added; `whole` makes one array of them."""
+    full = F.size(state["now"]) >= LOT
+    done = F.when(full, F.array_append(state["done"], state["now"])).otherwise(state["done"])
+    now = F.when(full, F.array(item)).otherwise(F.array_append(state["now"], item))
+    return [done.alias("done"), now.alias("now")]
+
+
+def nothing_grown(kind: str) -> list[Column]:
+    return [empty(f"array<{kind}>").alias("done"), empty(kind).alias("now")]
+
+
+def whole(state: Column) -> Column:
+    return F.flatten(F.array_append(state["done"], state["now"]))
+
+
+def running_sums(numbers: Column) -> Column:
+    """0 and the sums of the first 1, 2, ... elements of an array of ints."""
+
+    def step(state: Column, x: Column) -> Column:
+        total = (state["total"] + x).cast("int")
+        return F.struct(*grown(state, total), total.alias("total"))
+
+    start = F.struct(*nothing_grown("int"), F.lit(0).alias("total"))
+    return F.aggregate(numbers, start, step, lambda state: F.concat(F.array(F.lit(0)), whole(state)))
+
+
+#: Pieces that may hold the five words before a match: words may be matches themselves.
+AHEAD = 11
 
 
 def spans(text: Column, pattern: str, hint: Column | None = None, before: bool = False) -> Column:
     """All leftmost non-overlapping matches of a Java pattern as array<struct<text,start,end>>, in code points.
 
     The pattern must not refer back to groups. `hint`: a cheap test without which there can be no match. `before`: adds
-    the field before, text in front of the match (not more than BEFORE characters, nor than the match before and what
-    surrounds it), so that nothing has to be cut from a long text once for each match.
+    the field before, the text from the fifth match before on, or from the start, so that nothing has to be cut from a
+    long text once for each match.
     """
 
     def cut(parts: Column) -> Column:
-        ends = F.aggregate(parts, F.array(F.lit(0)), lambda ends, part: F.array_append(ends, F.element_at(ends, -1) + F.length(part)))
-        ahead = lambda i: F.array_join(F.slice(parts, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), "")
-        front = lambda i: [F.right(ahead(i), F.lit(BEFORE)).alias("before")] if before else []
+        ahead = lambda i: F.array_join(F.slice(parts, F.greatest(i - AHEAD + 1, F.lit(1)), F.least(i, F.lit(AHEAD))), "")
+        front = lambda i: [ahead(i).alias("before")] if before else []
         pick = lambda at: lambda i: F.struct(F.get(parts, i).alias("text"), F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), *front(i))
-        return let(ends, lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), pick(at)))
+        return let(running_sums(F.transform(parts, F.length)), lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), pick(at)))
 
     kind = SPAN[:-1] + ",before:string>" if before else SPAN
     marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, STAND_INS), f"({pattern})", f"{OPEN}$1{CLOSE}")
@@ -49,6 +80,28 @@ def spans(text: Column, pattern: str, hint: Column | None = None, before: bool =
     return F.when(test, found).otherwise(empty(kind))
 
 
+#: Characters of a piece of text, and pieces that are cut at once.
+PIECE, PIECES = 4096, 64
+
+
+def pieces(text: Column) -> Column:
+    """The text in pieces of PIECE characters, as reaching a place inside a long text takes time with its distance."""
+
+    def cut(whole_text: Column, size: int) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.length(whole_text) - 1) / size).cast("int")), lambda i: F.substring(whole_text, i * size + 1, F.lit(size)))
+
+    long = F.flatten(F.transform(cut(text, PIECE * PIECES), lambda part: cut(part, PIECE)))
+    return F.when(F.length(text) <= PIECE, F.array(text)).otherwise(long)
+
+
+def part(cut: Column, start: Column, length: Column) -> Column:
+    """`length` characters of a text in `pieces` from `start`, counted from 0."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length - 1) / PIECE).cast("int")
+    near = F.slice(cut, first + 1, F.greatest(last - first + 1, F.lit(1)))
+    return F.substring(F.array_join(near, ""), start - first * PIECE + 1, length)
+
+
 def as_match(span: Column, category: Column | str, confidence: Column | float, detector: str, needs_review: Column | bool = False) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(
@@ -68,10 +121,15 @@ def numbered(matches: Column) -> Column:
     return F.transform(matches, lambda m, i: m.withField("seq", i)).cast(f"array<{MATCH}>")
 
 
-def around(text: Column, span: Column, reach: int) -> Column:
-    """The span's text with `reach` characters on each side."""
+def around(cut: Column, span: Column, reach: int) -> Column:
+    """The span's text with `reach` characters on each side, of a text in `pieces`."""
     start = F.greatest(span["start"] - reach, F.lit(0))
-    return F.substring(text, start + 1, span["end"] + reach - start)
+    return part(cut, start, span["end"] + reach - start)
+
+
+def within(text: Column, found: Column, use: Callable[[Column, Column], Column], kind: str = SPAN) -> Column:
+    """`use(pieces of the text, found)`, the text being cut only where something is found."""
+    return let(found, lambda spans: F.when(F.size(spans) > 0, let(pieces(text), lambda cut: use(cut, spans))).otherwise(empty(kind)))
 
 
 def each(rows: DataFrame, array: Column, name: str, *keep: str) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.expressions import empty, let, spans
+from ..functions.expressions import PIECE, empty, grown, let, nothing_grown, part, spans, whole, within
+from ..schemas import MATCH
 
 GAP, LONGEST, KINDS_NEEDED, CONFIDENCE = 60, 300, 2, 0.85
 PLACE_LABELS = ("GPE", "LOC", "FAC")
@@ -36,42 +37,57 @@ def address_signals(text: Column, entities: Column | None = None) -> Column:
 def clusters(signals: Column) -> Column:
     """Sessions of signals by the gap to the signal before (in order of start, not the furthest end)."""
 
-    def step(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
+    def fresh(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["end"].alias("last"), s["kind"].alias("kinds")).cast(CLUSTER)
+
+    def step(state: Column, s: Column) -> Column:
+        last = state["last"]
         joined = F.struct(
             F.least(last["start"], s["start"]).alias("start"),
             F.greatest(last["end"], s["end"]).alias("end"),
             s["end"].alias("last"),
             last["kinds"].bitwiseOR(s["kind"]).alias("kinds"),
-        )
-        fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["end"].alias("last"), s["kind"].alias("kinds"))
-        near = (F.size(done) > 0) & (s["start"] - F.get(done, F.size(done) - 1)["last"] <= GAP)
-        return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.array_append(done, fresh)).cast(f"array<{CLUSTER}>")
-
-    return F.when(F.size(signals) > 0, F.aggregate(F.slice(signals, 2, F.size(signals)), F.transform(F.slice(signals, 1, 1), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["end"].alias("last"), s["kind"].alias("kinds"))).cast(f"array<{CLUSTER}>"), step)).otherwise(empty(CLUSTER))
-
-
-def _bounded(text: Column, cluster: Column) -> Column:
-    """The cluster's span, reaching to the bounds of its sentence, as struct<start,end>."""
-    prefix = F.substring(text, F.lit(1), cluster["start"])
-    left = F.length(F.regexp_extract(prefix, r"(?s)^(.*[.;\n])", 1))
-    right = cluster["end"] + F.length(F.regexp_extract(F.substr(text, cluster["end"] + 1), r"^([^.;\n]*)", 1))
-    wide = F.substring(text, left + 1, right - left)
-    start = left + F.length(wide) - F.length(F.regexp_replace(wide, r"(?U)^\s+", ""))
-    end = right - F.length(wide) + F.length(F.regexp_replace(wide, r"(?U)\s+\z", ""))
-    reach = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
+        ).cast(CLUSTER)
+        done, now = grown(state, last)
+        near = s["start"] - last["last"] <= GAP
+        stay = F.struct(state["done"].alias("done"), state["now"].alias("now"), joined.alias("last"))
+        return F.when(near, stay).otherwise(F.struct(done, now, fresh(s).alias("last")))
+
+    start = F.struct(*nothing_grown(CLUSTER), fresh(F.get(signals, F.lit(0))).alias("last"))
+    rest = F.slice(signals, 2, F.size(signals))
+    return F.when(F.size(signals) > 0, F.aggregate(rest, start, step, lambda state: F.array_append(whole(state), state["last"]))).otherwise(empty(CLUSTER))
+
+
+def _bounded(text: Column, cut: Column, cluster: Column) -> Column:
+    """The cluster's span, reaching to the bounds of its sentence, as struct<start,end>.
+
+    The bounds are looked for in the nearest piece of the text, and only where that has none in all of it.
+    """
+    from_, to = F.greatest(cluster["start"] - PIECE, F.lit(0)), cluster["end"]
+    ahead = r"(?s)^(.*[.;\n])"
+    near = part(cut, from_, cluster["start"] - from_)
+    far = F.length(F.regexp_extract(F.substring(text, F.lit(1), cluster["start"]), ahead, 1))
+    left = F.when((from_ == 0) | F.regexp_like(near, F.lit(r"[.;\n]")), F.when(F.regexp_like(near, F.lit(r"[.;\n]")), from_ + F.length(F.regexp_extract(near, ahead, 1))).otherwise(0)).otherwise(far)
+    behind = part(cut, to, F.lit(PIECE))
+    right = to + F.when(F.regexp_like(behind, F.lit(r"[.;\n]")), F.length(F.regexp_extract(behind, r"^([^.;\n]*)", 1))).otherwise(F.length(F.regexp_extract(F.substr(text, to + 1), r"^([^.;\n]*)", 1)))
+
+    def trimmed(bounds: Column) -> Column:
+        wide = part(cut, bounds["left"], bounds["right"] - bounds["left"])
+        return let(wide, lambda w: F.struct((bounds["left"] + F.length(w) - F.length(F.regexp_replace(w, r"(?U)^\s+", ""))).cast("int").alias("start"), (bounds["right"] - F.length(w) + F.length(F.regexp_replace(w, r"(?U)\s+\z", ""))).cast("int").alias("end")))
+
     hull = F.struct(cluster["start"].alias("start"), cluster["end"].alias("end"))
-    return let(reach, lambda r: F.when(r["end"] - r["start"] > LONGEST, hull).otherwise(r))
+    bounds = F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"))
+    return let(bounds, lambda x: let(trimmed(x), lambda r: F.when(r["end"] - r["start"] > LONGEST, hull).otherwise(r)))
 
 
 def detect_addresses(text: Column, entities: Column | None = None) -> Column:
     """Address matches of a block, always for review."""
 
-    def match(c: Column) -> Column:
+    def match(cut: Column, c: Column) -> Column:
         return let(
-            _bounded(text, c),
+            _bounded(text, cut, c),
             lambda s: F.struct(
-                F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("text"),
+                part(cut, s["start"], s["end"] - s["start"]).alias("text"),
                 F.lit("ADDRESS").alias("category"),
                 s["start"].alias("start"),
                 s["end"].alias("end"),
@@ -84,4 +100,4 @@ def detect_addresses(text: Column, entities: Column | None = None) -> Column:
 
     strong = lambda found: F.filter(found, lambda c: F.bit_count(c["kinds"]) >= KINDS_NEEDED)
     found = let(address_signals(text, entities), lambda signals: strong(clusters(signals)))
-    return F.filter(F.transform(found, match), lambda m: m["start"] < m["end"])
+    return within(text, found, lambda cut, some: F.filter(F.transform(some, lambda c: match(cut, c)), lambda m: m["start"] < m["end"]), MATCH)

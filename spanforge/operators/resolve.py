@@ -12,7 +12,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import let
+from ..functions.expressions import grown, let, nothing_grown, whole
 from ..schemas import MATCH
 
 RANKS = {"regex": 0, "ner": 1, "heuristic": 2}
@@ -41,14 +41,18 @@ def in_order(matches: Column) -> Column:
 def resolve(matches: Column) -> Column:
     """Survivors of array<MATCH>, in order."""
 
-    def step(kept: Column, m: Column) -> Column:
-        last = F.element_at(kept, -1)
+    def step(state: Column, m: Column) -> Column:
+        last = state["last"]
         clash = (last["start"] < m["end"]) & (m["start"] < last["end"])
-        instead = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(m))
-        return F.when(~clash, F.array_append(kept, m)).when(_worth(m) > _worth(last), instead).otherwise(kept).cast(f"array<{MATCH}>")
+        done, now = grown(state, last)
+        put = F.struct(done, now, m.alias("last"))
+        stay = F.struct(state["done"].alias("done"), state["now"].alias("now"), F.when(_worth(m) > _worth(last), m).otherwise(last).alias("last"))
+        return F.when(clash, stay).otherwise(put)
 
     def fold(ordered: Column) -> Column:
-        return F.when(F.size(ordered) > 1, F.aggregate(F.slice(ordered, 2, F.size(ordered)), F.slice(ordered, 1, 1), step)).otherwise(ordered)
+        start = F.struct(*nothing_grown(MATCH), F.get(ordered, F.lit(0)).cast(MATCH).alias("last"))
+        rest = F.slice(ordered, 2, F.size(ordered))
+        return F.when(F.size(ordered) > 1, F.aggregate(rest, start, step, lambda state: F.array_append(whole(state), state["last"]))).otherwise(ordered)
 
     return let(in_order(matches), fold)
 

@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.expressions import let
+from ..functions.expressions import let, part, pieces, running_sums
 from ..schemas import RUN
 
 
 def rewrite_text(text: Column, matches: Column) -> Column:
     """The text with each match's `fake` in place; matches are resolved and in order. One without a fake is skipped."""
 
-    def step(acc: Column, m: Column) -> Column:
-        gap = F.substring(text, acc["at"] + 1, m["start"] - acc["at"])
-        return F.struct(m["end"].alias("at"), F.concat(acc["out"], gap, m["fake"]).alias("out"))
+    def put(cut: Column, used: Column) -> Column:
+        after = lambda i: F.coalesce(F.get(used, i - 1)["end"], F.lit(0))
+        filled = F.transform(used, lambda m, i: F.concat(part(cut, after(i), m["start"] - after(i)), m["fake"]))
+        rest = after(F.size(used))
+        return F.concat(F.array_join(filled, ""), part(cut, rest, F.length(text) - rest))
 
-    used = F.filter(matches, lambda m: m["fake"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(used, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    return F.when(F.size(used) > 0, done).otherwise(text)
+    chosen = F.filter(matches, lambda m: m["fake"].isNotNull())
+    return let(chosen, lambda used: F.when(F.size(used) > 0, let(pieces(text), lambda cut: put(cut, used))).otherwise(text))
 
 
 def run_starts(texts: Column) -> Column:
     """Offsets at which runs of text start: the sum of the lengths before each."""
-    sums = F.aggregate(texts, F.array(F.lit(0)), lambda acc, t: F.array_append(acc, F.element_at(acc, -1) + F.length(t)))
-    return let(sums, lambda s: F.slice(s, 1, F.size(s) - 1))
+    return let(running_sums(F.transform(texts, F.length)), lambda s: F.slice(s, 1, F.size(s) - 1))
 
 
 def make_runs(texts: Column) -> Column:

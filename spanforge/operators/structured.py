@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.expressions import around, as_match, empty, let, numbered, spans
-from ..schemas import SPAN
+from ..functions.expressions import around, as_match, empty, grown, let, nothing_grown, numbered, spans, whole, within
+from ..schemas import MATCH, SPAN
 
 #: Any decimal digit; texts without one skip the patterns that need it.
 DIGIT = r"(?U)\d"
@@ -50,23 +50,41 @@ def ssn_spans(text: Column) -> Column:
     return spans(text, P.SSN, F.contains(text, F.lit("-")))
 
 
-def phone_candidates(text: Column) -> Column:
-    """International, bare ten-digit and US candidates, in this order of priority."""
-    kinds = (P.PHONE_INTERNATIONAL, P.PHONE_TEN_DIGITS, P.PHONE_US)
-    return F.concat(*[spans(text, kind, F.contains(text, F.lit("+")) if kind == P.PHONE_INTERNATIONAL else has_digit(text)) for kind in kinds])
+def phone_kinds(text: Column) -> list[Column]:
+    """International, bare ten-digit and US candidates, in this order of priority, each with 7 to 15 digits."""
+    fits = lambda s: F.length(digits(s["text"])).between(7, 15)
+    kinds = ((P.PHONE_INTERNATIONAL, F.contains(text, F.lit("+"))), (P.PHONE_TEN_DIGITS, has_digit(text)), (P.PHONE_US, has_digit(text)))
+    return [F.filter(spans(text, kind, hint), fits) for kind, hint in kinds]
+
+
+def outside(found: Column, taken: Column) -> Column:
+    """`found` without spans whose start or end lies in one of `taken`; what strictly contains one stays.
+
+    Neither side overlaps itself. One pass over both in order of start: a span waits until the next ones of `taken` have
+    shown whether its end lies in one.
+    """
+    both = F.array_sort(F.concat(F.transform(taken, lambda s: F.struct(s["start"].alias("at"), F.lit(0).alias("side"), s.alias("s"))), F.transform(found, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("side"), s.alias("s")))))
+
+    def step(state: Column, event: Column) -> Column:
+        s, last, waiting = event["s"], state["last"], state["waiting"]
+        ends_inside = (s["start"] < waiting["end"]) & (waiting["end"] <= s["end"])
+        begins_inside = ((last["start"] <= s["start"]) & (s["start"] < last["end"])) | ((last["start"] < s["end"]) & (s["end"] <= last["end"]))
+        kept, done = waiting.isNotNull(), grown(state, waiting)
+        taken_next = F.struct(state["done"].alias("done"), state["now"].alias("now"), s.alias("last"), F.when(~F.coalesce(ends_inside, F.lit(False)), waiting).alias("waiting"))
+        found_next = F.struct(F.when(kept, done[0]).otherwise(state["done"]).alias("done"), F.when(kept, done[1]).otherwise(state["now"]).alias("now"), last.alias("last"), F.when(~F.coalesce(begins_inside, F.lit(False)), s).alias("waiting"))
+        return F.when(event["side"] == 0, taken_next).otherwise(found_next)
+
+    none = F.lit(None).cast(SPAN)
+    start = F.struct(*nothing_grown(SPAN), none.alias("last"), none.alias("waiting"))
+    rest = F.aggregate(both, start, step, lambda state: F.concat(whole(state), F.filter(F.array(state["waiting"]), lambda s: s.isNotNull())))
+    return F.when((F.size(taken) > 0) & (F.size(found) > 0), rest).otherwise(found)
 
 
 def phone_spans(text: Column) -> Column:
     """Candidates in order of priority; one whose start or end lies in a span that was taken before goes, and so does
     one without 7 to 15 digits. A candidate that strictly contains an earlier span stays."""
-
-    def step(taken: Column, c: Column) -> Column:
-        start, end = c["start"], c["end"]
-        inside = F.exists(taken, lambda t: ((t["start"] <= start) & (start < t["end"])) | ((t["start"] < end) & (end <= t["end"])))
-        fits = F.length(digits(c["text"])).between(7, 15)
-        return F.when(inside | ~fits, taken).otherwise(F.array_append(taken, c))
-
-    return F.aggregate(phone_candidates(text), empty(SPAN), step)
+    international, ten, us = phone_kinds(text)
+    return let(international, lambda a: let(outside(ten, a), lambda b: F.concat(a, b, outside(outside(us, a), b))))
 
 
 def date_spans(text: Column) -> Column:
@@ -76,13 +94,14 @@ def date_spans(text: Column) -> Column:
 
 def birth_spans(text: Column) -> Column:
     """Dates with a birth word within 100 characters."""
-    near = lambda s: F.regexp_like(around(text, s, 100), F.lit(P.BIRTH_CONTEXT))
-    return F.when(F.regexp_like(text, F.lit(P.BIRTH_CONTEXT)), F.filter(date_spans(text), near)).otherwise(empty(SPAN))
+    near = lambda cut: lambda s: F.regexp_like(around(cut, s, 100), F.lit(P.BIRTH_CONTEXT))
+    dates = within(text, date_spans(text), lambda cut, found: F.filter(found, near(cut)))
+    return F.when(F.regexp_like(text, F.lit(P.BIRTH_CONTEXT)), dates).otherwise(empty(SPAN))
 
 
-def ssn_confidence(text: Column, span: Column) -> Column:
-    """0.95 with a keyword within 50 characters, else 0.80."""
-    return F.when(F.regexp_like(around(text, span, 50), F.lit(P.SSN_CONTEXT)), 0.95).otherwise(0.80)
+def ssn_confidence(cut: Column, span: Column) -> Column:
+    """0.95 with a keyword within 50 characters, else 0.80; of a text in pieces."""
+    return F.when(F.regexp_like(around(cut, span, 50), F.lit(P.SSN_CONTEXT)), 0.95).otherwise(0.80)
 
 
 def detect_emails(text: Column) -> Column:
@@ -102,7 +121,7 @@ def detect_cards(text: Column) -> Column:
 
 
 def detect_ssns(text: Column) -> Column:
-    return F.transform(ssn_spans(text), lambda s: as_match(s, "SSN", ssn_confidence(text, s), "regex"))
+    return within(text, ssn_spans(text), lambda cut, found: F.transform(found, lambda s: as_match(s, "SSN", ssn_confidence(cut, s), "regex")), MATCH)
 
 
 def detect_births(text: Column) -> Column:

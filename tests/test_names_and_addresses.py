@@ -6,10 +6,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanforge.functions.expressions import let
+from spanforge.functions.expressions import let, pieces
 from spanforge.operators import address
 from spanforge.operators.detect import collect_matches, exploded
-from spanforge.operators.entities import NOT_COMPANIES, NOT_NAME_WORDS, NOT_PERSONS, clean_text, validate_company, validate_person
+from spanforge.operators.entities import NOT_COMPANIES, NOT_NAME_WORDS, NOT_PERSONS, clean_text, propose_entities, validate_company, validate_person
 from spanforge.plans.samples import COMPANY_CASES, PERSON_CASES
 
 
@@ -87,5 +87,31 @@ def test_bounds(spark, left, right):
     text = f"{left}Plot 400051{right}"
     rows = spark.createDataFrame([(text,)], "text string")
     cluster = F.struct(F.lit(len(left)).alias("start"), F.lit(len(left) + 11).alias("end"))
-    got = rows.select(address._bounded(F.col("text"), cluster)).first()[0]
+    got = rows.select(address._bounded(F.col("text"), pieces(F.col("text")), cluster)).first()[0]
     assert tuple(got) == brute_bounds(text, len(left), len(left) + 11)
+
+
+def test_five_words_before_each_name(spark):
+    """Also where names follow one another, words are long, or a sentence has many short names."""
+    names = "Signed by Asha Rao, Rohit Rao, Meera Shah and Dev Anand Rao"
+    long = f"signed by {'w' * 200} Asha Rao and {'v' * 300} at {'u' * 90} by Rohit Rao"
+    many = "by " + " of ".join(f"Na{chr(97 + i)}e Surname" for i in range(12))
+    rows = spark.createDataFrame([(t,) for t in (names, long, many)], "text string")
+    for r in rows.select("text", propose_entities(F.col("text")).alias("found")).collect():
+        assert r.found
+        for e in r.found:
+            before = r.text[: e.start]
+            words = re.findall(r"\S+(?=\s)", before) if before[-1:].isspace() else []
+            assert re.split(r"\s+", e.preceding) == [w.lower() for w in words[-5:]] or (not words and e.preceding == "")
+    matched = collect_matches(rows.where("text like 'Signed%'").withColumn("doc_id", F.lit("x")))
+    sure = {m.text: m.confidence for m in exploded(matched).collect() if m.category == "PERSON"}
+    assert sure["Rohit Rao"] == 0.9 and sure["Asha Rao"] == 0.9
+
+
+def test_address_of_300_characters(spark):
+    """A sentence of more than 300 characters is left at the signals' hull, one of 300 is taken."""
+    for extra in (0, 1):
+        text = "x" * (300 - 11 + extra - 1) + " Plot 400051"
+        rows = spark.createDataFrame([(f"Before. {text}; after",)], "text string")
+        got = rows.select(F.explode(address.detect_addresses(F.col("text"))).alias("m")).select("m.text").collect()
+        assert [r[0] for r in got] == ["Plot 400051" if len(text) > 300 else text]

@@ -10,7 +10,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanforge.functions import patterns as P
-from spanforge.functions.expressions import spans
+from spanforge.functions import expressions as X
+from spanforge.functions.expressions import part, pieces, running_sums, spans
 from spanforge.operators import structured
 
 CASES = [
@@ -114,3 +115,31 @@ def test_phone_priority(spark, texts):
 def test_hard_texts_end(spark, text):
     rows = spark.createDataFrame([(text,)], "text string")
     assert rows.select(structured.detect_structured(F.col("text"))).count() == 1
+
+
+def test_parts_of_long_texts(spark):
+    text = "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else chr(97 + i % 26) for i in range(X.PIECE * X.PIECES + X.PIECE + 77))
+    cuts = [(0, 0), (0, 5), (X.PIECE - 1, 2), (X.PIECE, X.PIECE), (X.PIECE * X.PIECES - 3, 7), (len(text) - 2, 2), (5, 3 * X.PIECE)]
+    rows = spark.createDataFrame([(text,)], "text string")
+    got = rows.select([part(pieces(F.col("text")), F.lit(a), F.lit(n)) for a, n in cuts]).first()
+    assert list(got) == [text[a : a + n] for a, n in cuts]
+    numbers = list(range(1000))
+    sums = spark.createDataFrame([(numbers,), ([],)], "n array<int>").select(running_sums(F.col("n"))).collect()
+    assert [r[0] for r in sums] == [[sum(numbers[:i]) for i in range(1001)], [0]]
+
+
+@pytest.mark.parametrize("kind", ["ip", "phone", "ssn"])
+def test_many_matches_in_one_text(spark, kind):
+    """12,000 matches in one text come whole, in time that follows the text."""
+    import time
+
+    made, find = {"ip": ("10.1.2.{} ", structured.ip_spans), "phone": ("555-123-4{:03d} +49 (30) 555-01{:02d} ", structured.phone_spans), "ssn": ("SSN 123-45-6{:03d} ", structured.detect_ssns)}[kind]
+    took = []
+    for n in (3_000, 12_000):
+        each = 1 if kind != "phone" else 2
+        text = "".join(made.format(i % 100, i % 100) for i in range(n // each))
+        began = time.time()
+        found = spark.createDataFrame([(text,)], "text string").select(F.explode(find(F.col("text"))).alias("s")).select("s.*").collect()
+        took.append(time.time() - began)
+        assert len(found) == n and all(text[r.start : r.end] == r.text for r in found)
+    assert took[1] < 10 * took[0] + 2
