@@ -1,14 +1,14 @@
 """Scoring of detections against ground truth.
 
 Texts and categories are equi-join keys; places are compared within a group of equal keys. Detections take the first
-free truth that fits, in order, which is a fold over the group's array. Where both sides name a paragraph everywhere,
-counts per paragraph say the same and need no arrays: that path pre-aggregates before its shuffle, and it is what a
-corpus-wide evaluation with hot texts should use.
+free truth that fits, in order. Where both sides name a paragraph everywhere, numbering the rows of a paragraph says the
+same, and for scores alone counts do, which pre-aggregate before their shuffle; only where a paragraph is missing the
+group is folded as an array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import each
@@ -37,13 +37,26 @@ def keyed(rows: DataFrame, extra: list[str]) -> DataFrame:
 
 def match_pairs(detections: DataFrame, truth: DataFrame, tolerance: int = TOLERANCE, keys: tuple[str, ...] = ()) -> DataFrame:
     """(category, det_id, truth_id): pairs of the greedy one-to-one matching. Both sides have an id in the order of the
-    file, text, category, para_idx and start_char; `keys`, such as a doc_id, must agree too."""
-    fields = ["id", "para_idx", "start_char"]
-    sides = []
-    for rows, name in ((detections, "found"), (truth, "true")):
-        rows = keyed(rows, [*keys, *fields])
-        sides.append(rows.groupBy("category", "norm", *keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)))
-    both = sides[0].join(sides[1], ["category", "norm", *keys])
+    file, text, category, para_idx and start_char; `keys`, such as a doc_id, must agree too.
+
+    Texts whose paragraphs are all known are paired by number within category, text and paragraph, without arrays; only
+    the others are folded.
+    """
+    fields, on = ["id", "para_idx", "start_char"], ["category", "norm", *keys]
+    sides = [keyed(rows, [*keys, *fields]) for rows in (detections, truth)]
+    unplaced = sides[0].unionByName(sides[1]).where("para_idx is null").select(*on).distinct()
+    place = F.row_number().over(Window.partitionBy(*on, "para_idx").orderBy("id"))
+    found, true = (rows.join(unplaced, on, "left_anti").select(*on, "para_idx", F.col("id").alias(name), place.alias("place")) for rows, name in zip(sides, ("det_id", "truth_id"), strict=True))
+    placed = found.join(true, [*on, "para_idx", "place"]).select("category", *keys, "det_id", "truth_id")
+    sides = [rows.join(unplaced, on, "left_semi") for rows in sides]
+    return placed.unionByName(folded_pairs(*sides, tolerance, on))
+
+
+def folded_pairs(detections: DataFrame, truth: DataFrame, tolerance: int, on: list[str]) -> DataFrame:
+    """The pairs where some paragraph is not known: each detection takes the first free truth that fits."""
+    fields, keys = ["id", "para_idx", "start_char"], on[2:]
+    sides = [rows.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name)) for rows, name in ((detections, "found"), (truth, "true"))]
+    both = sides[0].join(sides[1], on)
     kind = both.schema["true"].dataType.simpleString()
     ids = both.schema["true"].dataType.elementType["id"].dataType.simpleString()
 
@@ -145,7 +158,6 @@ def coverage(counts: DataFrame) -> DataFrame:
 
 
 def distribution(truth: DataFrame) -> DataFrame:
-    """Number and share of each category in the truth."""
+    """Number and share of each category in the truth; only the counts meet in one task."""
     counts = truth.groupBy("category").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("category", "n", (F.col("n") / F.col("total")).alias("share"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))

@@ -192,6 +192,22 @@ def rows(values: list[tuple], columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(sql, v)) + ')' for v in values)}) AS t({columns})"
 
 
+#: Texts with a match of most kinds, and what is found in them.
+KNOWN = """
+WITH k AS (
+  SELECT c_custkey AS doc_id, ['Limited', 'Foundation', 'Group'][c_custkey % 3 + 1] AS kind, 'u' || c_custkey || '@ex.org' AS mail,
+    CASE WHEN c_custkey % 2 = 0 THEN '+91 ' ELSE '' END AS code, '98765' || lpad(CAST(c_custkey % 100000 AS VARCHAR), 5, '0') AS phone, '10.0.' || (c_custkey % 256) || '.7' AS ip FROM customer),
+t AS (SELECT *, 'Signed by Asha Rao for Blue Metals ' || kind || ', mail ' || mail || ', call ' || code || phone || ', from ' || ip || '. DOB: 15/03/1985.' AS text FROM k),
+f AS (
+  SELECT doc_id, text, 'Asha Rao' AS found, 'PERSON' AS category, 0.9 AS confidence, 'ner' AS detector FROM t UNION ALL
+  SELECT doc_id, text, 'Blue Metals ' || kind, 'COMPANY', CASE kind WHEN 'Limited' THEN 0.9 ELSE 0.85 END, 'ner' FROM t WHERE kind <> 'Group' UNION ALL
+  SELECT doc_id, text, mail, 'EMAIL', 1.0, 'regex' FROM t UNION ALL
+  SELECT doc_id, text, phone, 'PHONE', 1.0, 'regex' FROM t UNION ALL
+  SELECT doc_id, text, ip, 'IP', 1.0, 'regex' FROM t UNION ALL
+  SELECT doc_id, text, '15/03/1985', 'DOB', 0.9, 'regex' FROM t),
+p AS (SELECT *, position(found IN text) - 1 AS start_char FROM f)
+"""
+
 LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents"
 #: Lines with other than white space.
 SEEN = r"regexp_matches({}, '[^\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}]')"
@@ -243,6 +259,26 @@ SELECT d.doc_id, md5(CASE WHEN y.doc_id IS NULL THEN d.text ELSE y.head || subst
 FROM documents d LEFT JOIN y ON y.doc_id = d.doc_id WHERE {SEEN.format("d.text")}""",
     "redacted_runs": """
 SELECT c_custkey, i AS run_idx, CASE i WHEN 0 THEN 'Pay Jane' WHEN 1 THEN '' ELSE ' now' END AS new_text FROM customer, range(3) AS r(i)""",
+    "made_entities": KNOWN + """
+SELECT doc_id, 'Asha Rao' AS found, 'PERSON' AS label, CAST(10 AS BIGINT) AS start_char, 'signed by' AS preceding FROM t UNION ALL
+SELECT doc_id, 'Blue Metals ' || kind, 'ORG', CAST(23 AS BIGINT), 'signed by asha rao for' FROM t""",
+    "made_detections_of_all_kinds": KNOWN + "SELECT doc_id, found, category, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + length(found) AS BIGINT) AS end_char, CAST(confidence AS DOUBLE) AS confidence, false AS needs_review, detector FROM p",
+    "made_redaction": KNOWN + f""",
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) AS k, lag(start_char + length(found), 1, 0) OVER (PARTITION BY doc_id ORDER BY start_char) AS before FROM p),
+m AS ({fakes("SELECT DISTINCT found AS text, category FROM f")})
+SELECT x.doc_id, count(*) AS n_matches, string_agg(substr(x.text, x.before + 1, x.start_char - x.before) || m.fake, '' ORDER BY k) || substr(any_value(x.text), CAST(max(x.start_char + length(x.found)) AS BIGINT) + 1) AS new_text
+FROM x JOIN m ON m.text = x.found AND m.category = x.category GROUP BY x.doc_id""",
+    "phone_ten_digits": KNOWN + "SELECT doc_id, found, CAST(start_char AS BIGINT) AS start_char, CAST(start_char + 10 AS BIGINT) AS end_char FROM p WHERE category = 'PHONE'",
+    "address_hull": """
+SELECT s_suppkey, CAST(n AS BIGINT) AS found, CAST(5 AS BIGINT) AS start_char, CAST(5 + n AS BIGINT) AS end_char
+FROM (SELECT s_suppkey, CASE WHEN 290 + s_suppkey % 20 > 300 THEN 11 ELSE 290 + s_suppkey % 20 END AS n FROM supplier)""",
+    "docx_tables": """
+SELECT s_suppkey, 'paragraph' AS type, CAST(0 AS BIGINT) AS para_idx, CAST(-1 AS BIGINT) AS table_idx, CAST(-1 AS BIGINT) AS row_idx, CAST(-1 AS BIGINT) AS col_idx, CAST(-1 AS BIGINT) AS section_idx, 'Dear ' || s_name AS text FROM supplier
+UNION ALL SELECT s_suppkey, 'table_cell', 0, 0, 0, 0, -1, 'Key' FROM supplier
+UNION ALL SELECT s_suppkey, 'table_cell', 0, 0, 0, 1, -1, CAST(s_suppkey AS VARCHAR) FROM supplier
+UNION ALL SELECT s_suppkey, 'table_cell', 0, 0, 1, 1, -1, s_name FROM supplier
+UNION ALL SELECT s_suppkey, 'header', 0, -1, -1, -1, 0, 'Page of ' || s_name FROM supplier""",
+    "score_within_tolerance": "SELECT 'PERSON' AS category, c_custkey AS det_id, c_custkey AS truth_id FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 21 <= 10",
     "score_detections": SCORES,
     "score_greedy": SCORES,
     "fp_rows": MADE + "SELECT category, count(*) AS n, min(id) AS first_id FROM det WHERE id NOT IN (SELECT det_id FROM pairs) GROUP BY category",

@@ -288,8 +288,8 @@ def quality_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every detector with the built-in source of entities, resolved."""
-    blocks = tables.spread(tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    """Every detector with the built-in source of entities, resolved; a block is a line, as it is a paragraph in a file."""
+    blocks = tables.line_blocks(tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
     return exploded(collect_matches(blocks)).groupBy("category", "detector", "needs_review").agg(F.count("*").alias("n"))
 
 
@@ -337,10 +337,74 @@ def redacted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain over documents."""
-    blocks = tables.spread(tables.text_blocks(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
+    """The whole chain over the lines of documents."""
+    blocks = tables.line_blocks(tables.spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
     out = redact_blocks(blocks)
-    return out.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.length("new_text").cast("long").alias("n_chars"), F.md5(F.col("new_text").cast("binary")).alias("new_md5"))
+    return out.select("doc_id", "block_seq", F.size("matches").cast("long").alias("n_matches"), F.length("new_text").cast("long").alias("n_chars"), F.md5(F.col("new_text").cast("binary")).alias("new_md5"))
+
+
+# Entities of all kinds in texts whose matches are known
+
+
+def made_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, block_seq, text): a text with a match of most kinds for every customer; a director, a company of one of
+    three kinds, an e-mail, an IP, a ten-digit phone behind a country's code or none, and a birth date."""
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS doc_id",
+        "0 AS block_seq",
+        """concat('Signed by Asha Rao for Blue Metals ', element_at(array('Limited', 'Foundation', 'Group'), cast(c_custkey % 3 + 1 as int)), ', mail u', c_custkey, '@ex.org, call ',
+             if(c_custkey % 2 = 0, '+91 ', ''), '98765', lpad(cast(c_custkey % 100000 as string), 5, '0'), ', from 10.0.', c_custkey % 256, '.7. DOB: 15/03/1985.') AS text""",
+    )
+
+
+@query
+def made_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed entities with the words before them."""
+    rows = each(made_documents(spark, sf_dir), propose_entities(F.col("text")), "e", "doc_id")
+    return rows.select("doc_id", F.col("e.text").alias("found"), "e.label", F.col("e.start").cast("long").alias("start_char"), "e.preceding")
+
+
+@query
+def made_detections_of_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exploded(collect_matches(made_documents(spark, sf_dir)), "doc_id")
+    return found.select("doc_id", F.col("text").alias("found"), "category", F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "confidence", "needs_review", "detector")
+
+
+@query
+def made_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: detected, resolved, replaced and rewritten."""
+    return redact_blocks(made_documents(spark, sf_dir)).select("doc_id", F.size("matches").cast("long").alias("n_matches"), "new_text")
+
+
+@query
+def phone_ten_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_rows(made_documents(spark, sf_dir), structured.phone_spans(F.col("text")), "doc_id")
+
+
+@query
+def address_hull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of 290 to 309 characters: up to 300 are taken whole, longer ones only over their signals."""
+    rows = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('Old. Plot 400051 ', repeat('x', cast(278 + s_suppkey % 20 as int)), '. End') AS text")
+    return span_rows(rows, address.detect_addresses(F.col("text")), "s_suppkey").withColumn("found", F.length("found").cast("long"))
+
+
+@query
+def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a Word file with a paragraph, a table of two rows and a header, parsed back; -1 for no place."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for key, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                content = docx.make_docx([["Dear ", name]], [[["Key", str(key)], ["", name]]], header=f"Page of {name}")
+                for b in docx.blocks_of(str(key), content):
+                    at = b["location"]
+                    row = [key, at["type"], *[-1 if at[k] is None else at[k] for k in ("para_idx", "table_idx", "row_idx", "col_idx", "section_idx")], b["text"]]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.string()], strict=True)], names=["s_suppkey", "type", "para_idx", "table_idx", "row_idx", "col_idx", "section_idx", "text"])
+
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return rows.mapInArrow(run, "s_suppkey long, type string, para_idx long, table_idx long, row_idx long, col_idx long, section_idx long, text string")
 
 
 # Scoring
@@ -384,6 +448,16 @@ def made_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.match_pairs(made_detections(spark, sf_dir), made_truth(spark, sf_dir))
 
 
+@query
+def score_within_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without paragraphs: starts that differ by 0 to 20 characters, of which up to 10 are let pass, and every fifth
+    detection without a start, which fits anywhere."""
+    found = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_name AS text", "'PERSON' AS category", "cast(null as int) AS para_idx", "cast(if(c_custkey % 5 = 0, null, 100) as int) AS start_char")
+    truth = found.withColumn("start_char", F.expr("cast(100 + id % 21 as int)"))
+    pairs = score.match_pairs(found, truth)
+    return pairs.select("category", F.col("det_id").alias("det_id"), "truth_id")
+
+
 @query
 def fp_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = score.false_positives(made_detections(spark, sf_dir), made_pairs(spark, sf_dir))
@@ -443,13 +517,13 @@ def distinct_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structured matches of a stream over the documents' files, run to its end; equal to the batch result."""
     import os
-    import tempfile
     import uuid
 
+    from ..functions.durable import shared_folder
     from ..streaming.redaction import to_parquet
 
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    folder = os.path.join(shared, f"stream-{uuid.uuid4().hex}")
+    folder = os.path.join(shared_folder(spark), f"stream-{uuid.uuid4().hex}")
     schema = table(spark, sf_dir, "documents").schema
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*_stream_path(sf_dir))
     blocks = tables.text_blocks(stream, "doc_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import where_computed
 from ..operators.detect import EntitySource, collect_matches, exploded
 from ..operators.entities import propose_entities
+from ..operators.models import Loader, with_entities
 from ..operators.pseudonym import REFERENCE_DATE, SEED, with_fakes
 from ..operators.rewrite import rewrite_runs, rewrite_text
 from ..schemas import CATEGORIES
@@ -45,18 +46,25 @@ def counts(matched: DataFrame) -> DataFrame:
     return exploded(matched).groupBy("category").agg(F.count("*").alias("n")).orderBy("category")
 
 
-def run_redaction(spark: SparkSession, source: str, output: str | None, detections: str | None, categories: Iterable[str] | None = None, seed: int = SEED, dry_run: bool = False) -> DataFrame:
+def run_redaction(spark: SparkSession, source: str, output: str | None, detections: str | None, categories: Iterable[str] | None = None, seed: int = SEED, dry_run: bool = False, model: Loader | None = None) -> DataFrame:
     """Redact all .docx files under `source` into the folder `output`; detections are written in any case.
 
-    Returns the counts per category. The matched blocks serve all outputs, so they are kept while there is room.
+    Returns the counts per category. The matched blocks serve all outputs, so they are kept until these are written.
+    `model` loads a model of entities in the workers; without one they are proposed by rules.
     """
-    redacted = redact_blocks(docx.read_docx(spark, source), categories, seed).persist()
-    if detections:
-        records.write_detections(records.detection_records(exploded(redacted, "location", "runs")), detections)
-    if not dry_run:
-        spark.dataSource.register(docx.DocxSource)
-        docx.rewrite_docx(docx.files(spark, source), changed_blocks(redacted)).write.format("docx").mode("append").save(output)
-    return counts(redacted)
+    blocks = docx.read_docx(spark, source)
+    found = redact_blocks(blocks, categories, seed) if model is None else redact_blocks(with_entities(blocks, model), categories, seed, entities="entities")
+    redacted = found.persist()
+    try:
+        if detections:
+            records.write_detections(records.detection_records(exploded(redacted, "doc_id", "location", "runs")), detections)
+        if not dry_run:
+            spark.dataSource.register(docx.DocxSource)
+            docx.rewrite_docx(docx.files(spark, source), changed_blocks(redacted)).write.format("docx").mode("append").save(output)
+        table = counts(redacted)
+        return spark.createDataFrame(table.collect(), table.schema)
+    finally:
+        redacted.unpersist()
 
 
 def redact_contents(contents: DataFrame, categories: Iterable[str] | None = None, seed: int = SEED) -> DataFrame:

@@ -31,14 +31,24 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def detection_records(found: DataFrame) -> DataFrame:
-    """Rows of matches with their location as records: no runs but their offsets, confidence with four decimals."""
+    """Rows of matches with their document, if they name one, and location as records: no runs but their offsets,
+    confidence with four decimals."""
     fields = [F.col("location")[k].alias(k) for k in ("type", "para_idx", "table_idx", "row_idx", "col_idx", "section_idx")]
     offsets = F.transform("runs", lambda r: r["start"]).alias("run_offsets")
-    return found.select("text", "category", "start_char", "end_char", F.struct(*fields, offsets).alias("source_location"), F.round("confidence", 4).alias("confidence"), "needs_review", "detector")
+    named = ["doc_id"] if "doc_id" in found.columns else []
+    return found.select(*named, "text", "category", "start_char", "end_char", F.struct(*fields, offsets).alias("source_location"), F.round("confidence", 4).alias("confidence"), "needs_review", "detector")
 
 
 def write_detections(records: DataFrame, path: str) -> None:
-    records.write.mode("overwrite").json(path)
+    """JSON lines in a folder, or one array in a local file if the path ends in .json; that comes part by part."""
+    if not path.endswith(".json"):
+        records.write.mode("overwrite").json(path)
+        return
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for i, line in enumerate(records.toJSON().toLocalIterator()):
+            f.write((",\n" if i else "\n") + line)
+        f.write("\n]\n")
 
 
 def truth_candidates(detections: DataFrame) -> DataFrame:
@@ -46,7 +56,8 @@ def truth_candidates(detections: DataFrame) -> DataFrame:
     known = "(?i)" + "|".join(NOT_TRUTH)
     kept = detections.where(~F.regexp_like("text", F.lit(known)))
     place = F.col("source_location")["para_idx"] if "source_location" in detections.columns else F.col("para_idx")
-    return kept.select("text", "category", place.alias("para_idx"), "start_char", "end_char", F.lit(TRUTH_NOTE).alias("notes"))
+    named = ["doc_id"] if "doc_id" in detections.columns else []
+    return kept.select(*named, "text", "category", place.alias("para_idx"), "start_char", "end_char", F.lit(TRUTH_NOTE).alias("notes"))
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> None:
