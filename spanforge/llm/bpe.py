@@ -8,7 +8,8 @@ parts, because repeated scans would be quadratic there.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty string; strings of
 special tokens inside a text become their ids, as the tokenizer file says; a null doc_id stays null; repeated rows
-give repeated results; other columns are ignored.
+give repeated results; of equal ranks the leftmost merges first; a text of any length is encoded whole, a word of any
+length in little more than linear time; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -79,10 +80,10 @@ class Bpe:
         self.cut_special = re.compile(f"({cut})") if cut else None
         self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()])
         self.cache: dict[str, bytes] = {}
-        self.shown = {np.int32(i).tobytes(): t for i, t in self.tokens.items()}
+        self.rank: dict[int, int] = {}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "cut_special", "normal", "cache", "shown")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "cut_special", "normal", "cache", "rank")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
@@ -140,7 +141,8 @@ class Bpe:
         """The same merges for one long word: a heap of (rank, place) over linked parts."""
         ids, n = parts.tolist(), len(parts)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        rank = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True)).get
+        self.rank = self.rank or dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))  # once in a worker
+        rank = self.rank.get
         heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:

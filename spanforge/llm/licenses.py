@@ -2,11 +2,13 @@
 
 Normalising follows the usual matching rules: case, copyright lines, punctuation (quotes, dashes and marks alike),
 white space and equivalent spellings make no difference. The digest of what remains is the join key, so a text matches
-only as a whole. The known table is a short list, hence bounded, and is broadcast; documents are never shuffled.
+only as a whole. The built-in list holds short licences and notices; any table of further whole texts can be given. A
+list of checked size is broadcast, so that documents stay where they are; a longer one meets their digests in a shuffle.
 
 Defined cases: a null text counts as empty; texts that normalise to nothing match nothing; a null doc_id stays null;
-rows with one doc_id are each looked up; other columns are ignored; an empty table gives an empty result. Only A to Z
-change case, so that any SQL engine normalises alike.
+rows with one doc_id, and equal rows, are each looked up; a digest with several names has the first by name; a text of
+any length is normalised whole; other columns are ignored; an empty table gives an empty result. Only A to Z change
+case, so that any SQL engine normalises alike.
 """
 
 from __future__ import annotations
@@ -44,6 +46,26 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 
 3. This notice may not be removed or altered from any source distribution."""
+MIT_0 = MIT.replace(
+    """, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""",
+    ".",
+)
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
 APACHE_NOTICE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 
 http://www.apache.org/licenses/LICENSE-2.0
@@ -51,6 +73,9 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 KNOWN = {
     "MIT": [MIT, f"MIT License\n\n{MIT}", f"The MIT License (MIT)\n\n{MIT}", "Released under the MIT License."],
+    "MIT-0": [MIT_0, f"MIT No Attribution\n\n{MIT_0}"],
+    "BSL-1.0": [BOOST, f"Boost Software License - Version 1.0 - August 17th, 2003\n\n{BOOST}"],
+    "Unlicense": [UNLICENSE, UNLICENSE.replace("https://", "http://")],
     "ISC": [ISC, f"ISC License\n\n{ISC}"],
     "0BSD": [ZERO_BSD, f"BSD Zero Clause License\n\n{ZERO_BSD}"],
     "BSD-2-Clause": [BSD_2, f"BSD 2-Clause License\n\n{BSD_2}"],
@@ -109,17 +134,44 @@ def canonical(text: F.Column) -> F.Column:
     return framed
 
 
-def known(spark) -> DataFrame:
-    """(text_sha256, license): one row per known digest."""
-    rows = [(name, text) for name, texts in KNOWN.items() for text in texts]
-    table = spark.createDataFrame(rows, "license string, text string")
-    return table.select(F.sha2(canonical(F.col("text")), 256).alias("text_sha256"), "license").groupBy("text_sha256").agg(F.min("license").alias("license"))
+#: Listed texts up to which their digests are broadcast (some 120 bytes each).
+BROADCAST_TEXTS = 100_000
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_sha256, license): the digest of each canonical text, and the licence that it is, or null."""
-    digests = documents.select("doc_id", F.sha2(canonical(F.col("text").cast("string")), 256).alias("text_sha256"))
-    return digests.join(F.broadcast(known(documents.sparkSession)), "text_sha256", "left").select("doc_id", "text_sha256", "license")
+def known(spark) -> DataFrame:
+    """(license, text) of the built-in list."""
+    return spark.createDataFrame([(name, text) for name, texts in KNOWN.items() for text in texts], "license string, text string")
+
+
+def scan(documents: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text_sha256, license): the digest of each canonical text, and the licence that it is, or null. `listed`:
+    (license, text) of whole texts to look for; the built-in list if not given."""
+    listed = known(documents.sparkSession) if listed is None else listed
+    digests = listed.select("license", canonical(F.col("text")).alias("plain")).where("trim(plain) <> ''").groupBy(F.sha2("plain", 256).alias("text_sha256")).agg(F.min("license").alias("license"))
+    digests = digests.hint("broadcast" if listed.count() <= BROADCAST_TEXTS else "merge")
+    found = documents.select("doc_id", F.sha2(canonical(F.col("text").cast("string")), 256).alias("text_sha256"))
+    return found.join(digests, "text_sha256", "left").select("doc_id", "text_sha256", "license")
+
+
+def made_texts(customers: DataFrame) -> DataFrame:
+    """(doc_id, text) for every customer: a licence of the built-in list in other case, spelling, punctuation or with a
+    rights line, or with a word too many."""
+    rows = customers.selectExpr("c_custkey AS doc_id", "c_name AS name")
+    mit, isc, bsd = (F.lit(t) for t in (MIT, ISC, BSD_3))
+    variants = [
+        F.concat(F.lit("Copyright (c) 2020 "), F.col("name"), F.lit("\n\n"), mit),
+        F.upper(isc),
+        F.replace(bsd, F.lit('"AS IS"'), F.lit("``AS IS''")),
+        F.concat(mit, F.lit(" "), F.col("name")),
+        F.regexp_replace(F.lit(UNLICENSE), " ", "  \n"),
+        F.lit(None).cast("string"),
+    ]
+    return rows.select("doc_id", F.element_at(F.array(*variants), (F.col("doc_id") % len(variants) + 1).cast("int")).alias("text"))
+
+
+MADE_ORACLE = """
+SELECT c_custkey AS doc_id, ['MIT', 'ISC', 'BSD-3-Clause', NULL, 'Unlicense', NULL][c_custkey % 6 + 1] AS license FROM customer
+"""
 
 
 def _canonical_sql(text: str) -> str:
@@ -137,7 +189,7 @@ def _oracle() -> str:
     values = ",\n".join(f"({quote(name)}, {quote(text)})" for name, texts in KNOWN.items() for text in texts)
     return f"""
 WITH listed(license, text) AS (VALUES {values}),
-known AS (SELECT sha256({_canonical_sql("text")}) AS text_sha256, min(license) AS license FROM listed GROUP BY 1),
+known AS (SELECT sha256({_canonical_sql("text")}) AS text_sha256, min(license) AS license FROM listed WHERE trim({_canonical_sql("text")}) <> '' GROUP BY 1),
 docs AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS text_sha256 FROM documents)
 SELECT doc_id, docs.text_sha256, license FROM docs LEFT JOIN known ON docs.text_sha256 = known.text_sha256
 """

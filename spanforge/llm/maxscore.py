@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard and queries of a block, on average.
-SHARD_ROWS, BLOCK_QUERIES = 16_384, 1_024
+#: Rows of a shard and queries of a block, on average. Of n rows and q queries, q / BLOCK_QUERIES copies of each row and
+#: n / SHARD_ROWS of each query are sent, so both are as large as a cell's memory (some 8 MB a side at 64 dimensions) allows.
+SHARD_ROWS, BLOCK_QUERIES = 16_384, 16_384
 #: Rows whose full scores seed the k-th score.
 SEED_ROWS = 256
 SAFE = float(1 << 52)

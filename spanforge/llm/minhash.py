@@ -234,7 +234,7 @@ def one_of_each(documents: DataFrame, words: int = 2, percent: int = 80) -> Data
     one with a large id made of its text, so that it goes where any other row of its group has an id."""
     made = F.lit(1 << 62) + F.pmod(text_key(), F.lit(1 << 61))
     rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text")
-    groups = classified(rows, words, percent).where("doc_id = component_id")
+    groups = durable(classified(rows, words, percent).where("doc_id = component_id").select("doc_id", "text_key", "group"))
     kept = groups.where("group is not null").groupBy("group", "doc_id").agg(F.min("text_key").alias("text_key")).drop("group")
     kept = kept.unionByName(groups.where("group is null").select("doc_id", "text_key"))
     found = rows.withColumn("text_key", text_key()).join(kept, ["doc_id", "text_key"], "left_semi")
@@ -248,15 +248,14 @@ def classified(documents: DataFrame, words: int, percent: int) -> DataFrame:
     members = sketched.where("set_id is not null").groupBy("set_id")
     classes = members.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     rows = durable(centred(shared_buckets(classes.where("rep is not null"))))
-    reps = members.agg(F.min("doc_id").alias("rep"))
+    reps = durable(members.agg(F.min("doc_id").alias("rep")))
     pairs = durable(star(rows, percent))
     needed = durable(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(reps, "set_id"))
     links = durable(confirm(pairs, of_classes(documents, needed, words, "text"), words, percent))
     mixed = durable(mixed_groups(rows, components(links)))
     needed = durable(mixed.select("set_id").distinct().join(reps, "set_id"))
     links = links.unionByName(durable(rest(mixed, of_classes(documents, needed, words, "hashes"), percent)))
-    found = components(links)
-    found = found.join(reps.withColumnRenamed("set_id", "node"), "node")
+    found = components(links).join(reps.withColumnRenamed("set_id", "node"), "node")
     roots = found.groupBy("root").agg(F.min("rep").alias("component_id"))
     linked = found.join(roots, "root").select(F.col("node").alias("set_id"), "root", "component_id")
     answer = reps.join(linked, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("group"), F.coalesce("component_id", "rep").alias("component_id"))

@@ -68,15 +68,15 @@ def running(name: str, order: str, *by: str) -> F.Column:
     return F.coalesce(F.sum(name).over(before), F.lit(0))
 
 
-def with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows beside the columns of plan, one row per source; the plan is broadcast if it is short."""
+def with_source(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
+    """rows beside the columns of plan, one row per source, which is broadcast if these are few."""
     named = plan.withColumnRenamed("source", "plan_source")
-    named = F.broadcast(named) if plan.count() <= BROADCAST_SOURCES else named
+    named = F.broadcast(named) if few else named
     return rows.join(named, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
-def cuts(slim: DataFrame, parts: int | None = None) -> DataFrame:
-    """(source, source_size, target, epochs, cut, left) of rows (source, size, key).
+def cuts(slim: DataFrame, parts: int | None = None) -> tuple[DataFrame, bool]:
+    """(source, source_size, target, epochs, cut, left) of rows (source, size, key), and whether sources are few.
 
     Documents with a hash below `cut` are taken once more after all epochs, those above are not, and those at it share
     `left` words; a null cut leaves no more for any.
@@ -89,20 +89,21 @@ def cuts(slim: DataFrame, parts: int | None = None) -> DataFrame:
     budget = F.floor(F.col("target") + F.lit(0.5)).cast("long")
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("cast(floor(target + 0.5D) as bigint) div source_size")).otherwise(0))
     goals = durable(goals.withColumn("over", F.when(F.col("source_size") > 0, budget - F.col("epochs") * F.col("source_size")).otherwise(0)))
+    few = goals.count() <= BROADCAST_SOURCES
     holds = (F.col("start") <= F.col("over")) & (F.col("over") < F.col("start") + F.col("n"))
-    place = with_source(by_part.withColumn("start", running("n", "part", "source")), goals).where(holds)
-    place = durable(place.select("source", "part", "start", "over").withColumnRenamed("part", "cut_part"))
-    inside = with_source(rows, place).where("part = cut_part")
+    place = with_source(by_part.withColumn("start", running("n", "part", "source")), goals, few).where(holds)
+    place = place.select("source", F.col("part").alias("cut_part"), "start", "over")
+    inside = with_source(rows, place, few).where("part = cut_part")
     by_key = inside.groupBy("source", "start", "over", "key").agg(F.sum("size").alias("n"))
     by_key = by_key.withColumn("start", F.col("start") + running("n", "key", "source")).where(holds)
     found = by_key.select(F.col("source").alias("cut_source"), F.col("key").alias("cut"), (F.col("over") - F.col("start")).alias("left"))
     planned = goals.drop("over").join(found, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
-    return durable(planned)
+    return durable(planned), few
 
 
-def at_cut(rows: DataFrame, planned: DataFrame) -> DataFrame:
+def at_cut(rows: DataFrame, planned: DataFrame, few: bool) -> DataFrame:
     """`rows` at their source's cut, with the columns of `planned` and the words of `left` that each is given as extra."""
-    here = with_source(rows, planned).where("key = cut").withColumn("tie", F.monotonically_increasing_id())
+    here = with_source(rows, planned, few).where("key = cut").withColumn("tie", F.monotonically_increasing_id())
     here = durable(here)
     lots = 1 + here.count() // PART_ROWS
     here = here.withColumn("lot", F.pmod(F.xxhash64("tie"), F.lit(lots)))
@@ -119,9 +120,9 @@ def mix(rows: DataFrame, parts: int | None = None) -> DataFrame:
 
     `rows` is read three times; where that is costly, checkpoint it first, without texts.
     """
-    planned = cuts(rows.select("source", "size", "key"), parts)
-    others = with_source(rows, planned).where("cut is null or key <> cut").withColumn("extra", F.expr("if(key < cut, size, 0L)"))
-    both = others.unionByName(at_cut(rows, planned))
+    planned, few = cuts(rows.select("source", "size", "key"), parts)
+    others = with_source(rows, planned, few).where("cut is null or key <> cut").withColumn("extra", F.expr("if(key < cut, size, 0L)"))
+    both = others.unionByName(at_cut(rows, planned, few))
     taken = F.col("epochs") * F.col("size") + F.coalesce("extra", F.lit(0))
     return both.select("row", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
@@ -134,12 +135,12 @@ def expand(documents: DataFrame, parts: int | None = None) -> DataFrame:
     """
     rows = sized(documents)
     slim = durable(rows.select("source", "size", "key"))
-    planned = cuts(slim, parts)
+    planned, few = cuts(slim, parts)
     # Words are counted only at the cuts; elsewhere a document needs to know no more than that it has some.
     unread = rows.drop("size").where(F.regexp_like(F.coalesce("row.text", F.lit("")), F.lit(WORD)))
-    others = with_source(unread, planned).where("cut is null or key <> cut")
+    others = with_source(unread, planned, few).where("cut is null or key <> cut")
     whole = others.select("row", F.expr("cast(epochs + if(key < cut, 1, 0) as int)").alias("copies"), F.lit(0).cast("long").alias("rest"))
-    cut = at_cut(rows, planned).where("size > 0")
+    cut = at_cut(rows, planned, few).where("size > 0")
     last = cut.select("row", F.expr("cast(epochs + (extra div size) as int)").alias("copies"), F.expr("extra % size").alias("rest"))
     copies = whole.unionByName(last).where("copies > 0 or rest > 0")
     copies = copies.withColumn("copy", F.explode(F.expr("sequence(1, copies + if(rest > 0, 1, 0))")))

@@ -92,6 +92,19 @@ def op10_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def license_known_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of the second query over texts that are licences in other spellings, so that its join is tested."""
+    return licenses.scan(licenses.made_texts(table(spark, sf_dir, "customer"))).select("doc_id", "license")
+
+
+def flac_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can state of the tenth operator: the payload as it is read back, and its blocks."""
+    stored = durable(flac.store(table(spark, sf_dir, "documents")))
+    blocks = flac.pcm_blocks(stored).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.sum(F.length("pcm")).cast("long").alias("block_bytes"))
+    read = stored.select("doc_id", "n_bytes", F.length("pcm").cast("long").alias("payload_bytes"), F.sha2("pcm", 256).alias("payload_sha256"))
+    return read.join(blocks, "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_skip_chain_crf": op1_pii_skip_chain_crf,
     "op2_license_digests": op2_license_digests,
@@ -103,6 +116,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_secret_scan_cnn": op9_secret_scan_cnn,
     "op10_flac_media": op10_flac_media,
+    "license_known_hits": license_known_hits,
+    "flac_payloads": flac_payloads,
 }
 
 ORACLES: dict[str, str] = {
@@ -110,4 +125,6 @@ ORACLES: dict[str, str] = {
     "op4_mix_sources": mixing.ORACLE,
     "op7_lm_cross_entropy": lm_scoring.ORACLE,
     "op8_exact_top_k": maxscore.ORACLE,
+    "license_known_hits": licenses.MADE_ORACLE,
+    "flac_payloads": flac.ORACLE,
 }

@@ -282,6 +282,21 @@ def test_flac_seek_and_damage():
         flac.decode([b"RIFF"])
 
 
+def test_flac_blocks_by_seek(spark):
+    """Each block is what lies there in the whole payload, also in streams of another kind and without seek points."""
+    texts = ["", "a" * 100, "words and more " * 700, "ü" * 5000]
+    stored = flac.store(table(spark, [(i, t, None, None) for i, t in enumerate(texts)]))
+    for frames in (1, 5, flac.SEEK_EVERY, 1000):
+        blocks = flac.pcm_blocks(stored, frames).collect()
+        for i, t in enumerate(texts):
+            mine = sorted((b.sample_offset, b.pcm) for b in blocks if b.doc_id == i)
+            whole = flac.payload(t.encode())
+            assert mine == [(at, whole[at : at + 192 * frames]) for at in range(0, len(whole), 192 * frames)]
+    stream, whole = flac.encode([flac.payload(texts[2].encode())])[0], flac.payload(texts[2].encode())
+    info = flac.header(stream) | {"points": []}
+    assert flac.block(stream, info, 500, 1000) == whole[500:1500] and flac.block(stream, info | {"least": 16}, 500, 1000) == whole[500:1500]
+
+
 def bits(*fields):
     text = "".join(format(v & (1 << n) - 1, f"0{n}b") for v, n in fields)
     text += "0" * (-len(text) % 8)
@@ -326,6 +341,15 @@ def test_flac_query(spark, awkward, nothing):
     assert [b.sample_offset for b in blocks[:3]] == [0, 3072, 6144]
 
 
+def test_listed_licenses(spark, monkeypatch):
+    """Any table of whole texts can be looked for, by a broadcast or a shuffle; texts without words match nothing."""
+    listed = spark.createDataFrame([("X-1", "The Licence: do WHAT you like!"), ("A-1", "the license do what you like"), ("empty", "...")], "license string, text string")
+    docs = table(spark, [(1, "THE LICENSE -- do what you like.", None, None), (2, "the license do what you like too", None, None), (3, "!", None, None), (4, None, None, None)])
+    for bound in (10, 1):
+        monkeypatch.setattr(licenses, "BROADCAST_TEXTS", bound)
+        assert {r.doc_id: r.license for r in licenses.scan(docs, listed).collect()} == {1: "A-1", 2: None, 3: None, 4: None}
+
+
 def test_licenses(spark, awkward, nothing):
     variants = [
         (1, "Copyright (c) 2020 Someone\nAll rights reserved.\n\n" + licenses.MIT.upper(), "MIT"),
