@@ -1,50 +1,48 @@
-"""Cases of the validators with the verdicts that they must give."""
+"""Cases of the validators with the verdicts that they must give: names made up here, and a few listed values."""
 
 #: (raw text, preceding words, accepted, confidence, needs review, reason, category)
 PERSON_CASES = [
-    ("Sarthak Malvadkar", "", True, 0.80, False, "accepted", "PERSON"),
-    ("Kushal Subbayya Hegde", "", True, 0.80, False, "accepted", "PERSON"),
-    ("Kushal Subbayya Hegde", "our director", True, 0.90, False, "accepted", "PERSON"),
-    ("Sandesh Bhagwat", "signed by", True, 0.90, False, "accepted", "PERSON"),
-    ("Amod", "contact mr.", True, 0.75, True, "accepted", "PERSON"),
-    ("Amod", "", False, 0.0, False, "single_token_without_context", "PERSON"),
-    ("KUSHAL SUBBAYYA HEGDE", "", True, 0.75, True, "accepted", "PERSON"),
-    ("JOHN SMITH", "", False, 0.0, False, "allcaps_metric", "PERSON"),
-    ("J. Smith", "", False, 0.0, False, "section_heading", "PERSON"),
-    ("Waterloo Industrial Park VI Private Limited", "", True, 0.90, False, "company_suffix", "COMPANY"),
+    ("Marta Lindqvist", "", True, 0.80, False, "accepted", "PERSON"),
+    ("Marta Ilse Lindqvist", "", True, 0.80, False, "accepted", "PERSON"),
+    ("Marta Ilse Lindqvist", "our director", True, 0.90, False, "accepted", "PERSON"),
+    ("Tomas Okoro", "signed by", True, 0.90, False, "accepted", "PERSON"),
+    ("Tomas", "contact mr.", True, 0.75, True, "accepted", "PERSON"),
+    ("Tomas", "", False, 0.0, False, "single_token_without_context", "PERSON"),
+    ("MARTA ILSE LINDQVIST", "", True, 0.75, True, "accepted", "PERSON"),
+    ("TOMAS OKORO", "", False, 0.0, False, "allcaps_metric", "PERSON"),
+    ("T. Okoro", "", False, 0.0, False, "section_heading", "PERSON"),
+    ("Lindqvist Harbour Works Private Limited", "", True, 0.90, False, "company_suffix", "COMPANY"),
+    ("Tomas Okoro 2nd", "", False, 0.0, False, "special_chars", "PERSON"),
+    ("Riverside Branch", "", False, 0.0, False, "role_noun_suffix", "PERSON"),
+    ("Harbour Port Agents", "", False, 0.0, False, "role_noun_suffix", "PERSON"),
+    ("Elm Village", "", False, 0.0, False, "location_pattern", "PERSON"),
+    ("Okoro Park Lane", "", False, 0.0, False, "token_blocklist", "PERSON"),
+    ("Tomas Okoro*#&", "", True, 0.80, False, "accepted", "PERSON"),
+    ("Zoë Ångström-Núñez", "", True, 0.80, False, "accepted", "PERSON"),
+    # Entries of the lists.
     ("Offer", "", False, 0.0, False, "blocklist_match", "PERSON"),
-    ("Cap Price", "", False, 0.0, False, "blocklist_match", "PERSON"),
-    ("RISKS", "", False, 0.0, False, "blocklist_match", "PERSON"),
-    ("ISO 9001:2015", "", False, 0.0, False, "special_chars", "PERSON"),
-    ("Parents Branch", "", False, 0.0, False, "role_noun_suffix", "PERSON"),
-    ("Share Transfer Agents", "", False, 0.0, False, "role_noun_suffix", "PERSON"),
-    ("Deccan Gymkhana", "", False, 0.0, False, "blocklist_match", "PERSON"),
-    ("Andheri Village", "", False, 0.0, False, "location_pattern", "PERSON"),
-    ("PAT CAGR", "", False, 0.0, False, "blocklist_match", "PERSON"),
-    ("B.  Non-GAAP Measures", "", False, 0.0, False, "blocklist_match", "PERSON"),
-    ("Vikhroli Park Road", "", False, 0.0, False, "token_blocklist", "PERSON"),
-    ("Kushal Subbayya Hegde*^&", "", True, 0.80, False, "accepted", "PERSON"),
-    ("José Ñandú-Pérez", "", True, 0.80, False, "accepted", "PERSON"),
+    ("Floor Price", "", False, 0.0, False, "blocklist_match", "PERSON"),
+    ("EBITDA CAGR", "", False, 0.0, False, "blocklist_match", "PERSON"),
+    ("Bandra East", "", False, 0.0, False, "blocklist_match", "PERSON"),
 ]
 #: (raw text, accepted, confidence, needs review, reason)
 COMPANY_CASES = [
-    ("KSH International Limited", True, 0.90, False, "company_suffix"),
-    ("Bhandary Metal Extrusion Private Limited", True, 0.90, False, "company_suffix"),
-    ("Kirtane & Pandit LLP", True, 0.90, False, "company_suffix"),
-    ("HDFC Bank Limited", True, 0.90, False, "company_suffix"),
-    ("RBI", True, 0.60, True, "public_body"),
-    ("Reserve Bank of India", True, 0.60, True, "public_body"),
-    ("BSE Limited", True, 0.90, False, "company_suffix"),
-    ("Private Limited", False, 0.0, False, "standalone_suffix"),
-    ("Helping Hands Foundation", True, 0.85, False, "named_trust"),
-    ("Smith Family Trust", True, 0.85, False, "named_trust"),
-    ("Makalu Family Trust", False, 0.0, False, "blocklist_match"),
-    ("Non-GAAP Measures", False, 0.0, False, "blocklist_match"),
-    ("Securities and Exchange Board of India", False, 0.0, False, "blocklist_match"),
-    ("Callings and Employment Act", False, 0.0, False, "act_regulation_name"),
-    ("THE OFFER WILL OPEN", False, 0.0, False, "allcaps_clause_fragment"),
-    ("the anchor portion", False, 0.0, False, "ipo_mechanism_pattern"),
-    ("Services Tax&", False, 0.0, False, "no_positive_evidence"),
-    ("Rakhi Girija Shetty", False, 0.0, False, "no_positive_evidence"),
-    ("*", False, 0.0, False, "empty_after_cleaning"),
+    ("Lindqvist Harbour Limited", True, 0.90, False, "company_suffix"),
+    ("Okoro Timber Export Private Limited", True, 0.90, False, "company_suffix"),
+    ("Okoro & Lindqvist LLP", True, 0.90, False, "company_suffix"),
+    ("Harbour Savings Bank Limited", True, 0.90, False, "company_suffix"),
+    ("Corporation Ltd", False, 0.0, False, "standalone_suffix"),
+    ("Open Meadow Foundation", True, 0.85, False, "named_trust"),
+    ("Lindqvist Family Trust", True, 0.85, False, "named_trust"),
+    ("Harbour Dues Act", False, 0.0, False, "act_regulation_name"),
+    ("THE DOCK WILL OPEN", False, 0.0, False, "allcaps_clause_fragment"),
+    ("the second tranche", False, 0.0, False, "ipo_mechanism_pattern"),
+    ("Harbour Dues&", False, 0.0, False, "no_positive_evidence"),
+    ("Marta Lindqvist", False, 0.0, False, "no_positive_evidence"),
+    ("#", False, 0.0, False, "empty_after_cleaning"),
+    # Entries of the lists.
+    ("SEBI", True, 0.60, True, "public_body"),
+    ("National Stock Exchange of India", True, 0.60, True, "public_body"),
+    ("Everest Family Trust", False, 0.0, False, "blocklist_match"),
+    ("Audit Committee", False, 0.0, False, "blocklist_match"),
 ]

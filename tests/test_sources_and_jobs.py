@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanforge import cli
-from spanforge.operators.detect import collect_matches
+from spanforge.operators.detect import collect_matches, exploded
 from spanforge.plans.redaction import redact_blocks, wanted_categories
 from spanforge.sources import docx, records, tables
 from spanforge.streaming import redaction as streaming
@@ -142,6 +142,57 @@ def test_reports_list_all_missed(spark):
     assert stored["false_positives"].count() == stored["false_negatives"].count() == 10
 
 
+def test_full_evaluation_of_two_documents(spark, tmp_path):
+    """Equal texts at equal places in two documents are told apart; every error is in the tables, ten in the files."""
+    from spanforge import cli
+
+    record = lambda doc, text, para: {"doc_id": doc, "text": text, "category": "IP", "start_char": 0, "end_char": 5, "source_location": {"type": "paragraph", "para_idx": para}, "confidence": 1.0, "needs_review": False, "detector": "regex"}
+    found = [record("a", "10.0.0.1", 3), record("b", "10.0.0.2", 3)] + [record("a", f"9.9.9.{i}", i) for i in range(25)]
+    truth = [{"doc_id": "b", "text": "10.0.0.1", "category": "IP", "para_idx": 3}, {"doc_id": "b", "text": "10.0.0.2", "category": "IP", "para_idx": 3}] + [{"doc_id": "b", "text": f"8.8.8.{i}", "category": "IP", "para_idx": i} for i in range(25)]
+    (tmp_path / "found.json").write_text(json.dumps(found))
+    (tmp_path / "truth.json").write_text(json.dumps(truth))
+    args = ["evaluate", "--detections", str(tmp_path / "found.json"), "--ground-truth", str(tmp_path / "truth.json"), "--report", str(tmp_path / "r.md"), "--tables", str(tmp_path / "t")]
+    assert cli.main(args) == 0
+    report = (tmp_path / "r.md").read_text()
+    assert "| IP | 27 | 27 | 1 | 26 | 26 |" in report and all(f"'8.8.8.{i}'" in report for i in range(25)) and report.count("'9.9.9.") + report.count("'10.0.0.1'") == 20 + 1
+    full = json.loads((tmp_path / "t" / "evaluation_results.json").read_text())
+    assert full["IP"]["TP"] == 1 and len(full["IP"]["fp_examples"]) == len(full["IP"]["fn_examples"]) == 10 and full["OVERALL"]["FN"] == 26
+    assert json.loads((tmp_path / "t" / "overall_metrics.json").read_text())["total_ground_truth"] == 27
+    assert json.loads((tmp_path / "t" / "per_category_metrics.json").read_text())["EMAIL"]["has_ground_truth"] is False
+    # Without documents in one file, places alone decide.
+    (tmp_path / "truth.json").write_text(json.dumps([{k: v for k, v in t.items() if k != "doc_id"} for t in truth]))
+    assert cli.main(args) == 0 and "| IP | 27 | 27 | 2 | 25 | 25 |" in (tmp_path / "r.md").read_text()
+
+
+def test_detections_as_one_array(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("b", 'y "z"', 2)], "doc_id string, text string, start_char int")
+    records.write_detections(rows, str(tmp_path / "d.json"))
+    assert json.loads((tmp_path / "d.json").read_text()) == [{"doc_id": "a", "text": "x", "start_char": 1}, {"doc_id": "b", "text": 'y "z"', "start_char": 2}]
+    records.write_detections(rows.where("false"), str(tmp_path / "d.json"))
+    assert json.loads((tmp_path / "d.json").read_text()) == []
+
+
+def test_entities_by_a_model(spark):
+    """A model is loaded in the workers, gets many texts at once and fills the entities that detectors judge."""
+    from spanforge.operators.models import preceding, spacy_loader, with_entities
+
+    def load():
+        import re
+
+        return lambda texts: [[(m[0], "PERSON", m.start(), m.end()) for m in re.finditer("[a-z]+ lee", t)] for t in texts]
+
+    texts = ["signed by ana lee and bo lee", None, "", "one  two\nthree four five six  cy lee"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    marked = with_entities(rows, load)
+    got = {r.doc_id: [(e.text, e.start, e.preceding) for e in r.entities] for r in marked.collect()}
+    assert got == {0: [("ana lee", 10, "signed by"), ("bo lee", 22, "signed by ana lee and")], 1: [], 2: [], 3: [("cy lee", 30, "two three four five six")]}
+    found = exploded(collect_matches(marked, entities="entities"), "doc_id").collect()
+    assert sorted((r.doc_id, r.text, r.confidence) for r in found) == [(0, "ana lee", 0.9), (0, "bo lee", 0.9), (3, "cy lee", 0.8)]
+    assert preceding("", 0) == preceding("   ", 3) == ""
+    with pytest.raises(RuntimeError, match="not installed"):
+        spacy_loader("no_such_model")()
+
+
 def test_own_detector(spark):
     from spanforge.functions.expressions import as_match, spans
     from spanforge.operators import structured
