@@ -28,6 +28,8 @@ from .arrow import map_steps, steps
 from .durable import durable
 
 BUCKETS = 1 << 15
+#: Parts of a vector of BUCKETS counts, which tasks add up side by side.
+PARTS = 32
 ORDERS = (1, 2, 3)
 #: Documents for each language in the sample that weights and temperature are fitted on, and languages at most: the
 #: bounds of what comes to the driver.
@@ -106,12 +108,20 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.astype("<i8").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(counts, decompressed_size=8 * BUCKETS // PARTS, codec="zstd", asbytes=True), "<i8")
+
+
 def surveyed(training: DataFrame, per_language: int) -> tuple[np.ndarray, int, dict[str, int]]:
     """In how many training texts (lang, text, key) each bucket occurs, the number of texts, and for each language the
     largest key of its sample, the `per_language` smallest ones.
 
-    A task gives one partial vector and its smallest keys, so that the driver gets BUCKETS numbers and a key for each
-    language whatever the input.
+    A task gives one partial vector, in packed parts, and its smallest keys, so that the driver gets BUCKETS numbers and a
+    key for each language whatever the input.
     """
 
     def count(batches):
@@ -130,24 +140,28 @@ def surveyed(training: DataFrame, per_language: int) -> tuple[np.ndarray, int, d
                 mine = np.concatenate([smallest.get(name, np.zeros(0, np.int64)), keys[langs == name]])
                 smallest[name] = np.unique(mine)[:per_language]
         if n:
-            filled = np.flatnonzero(total)
-            rows = [("n", "", n), *[("bucket", str(b), int(total[b])) for b in filled], *[("lang", k, v) for k, v in met.items()]]
-            rows += [("key", k, int(v)) for k, vs in smallest.items() for v in vs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["kind", "name", "n"])
-
-    found = durable(training.select("lang", "text", "key").mapInArrow(count, "kind string, name string, n long"))
-    sums = found.where("kind <> 'key'").groupBy("kind", "name").agg(F.sum("n").alias("n"))
-    texts = sums.where("kind = 'n'").first()
-    if texts is None:
+            rows = [(PARTS, None, n, None), *[(PARTS + 1, k, v, None) for k, v in met.items()]]
+            rows += [(PARTS + 2, k, int(v), None) for k, vs in smallest.items() for v in vs]
+            rows += [(k, None, None, packed(part)) for k, part in enumerate(np.split(total, PARTS)) if part.any()]
+            kinds = (pa.int32(), pa.string(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["part", "name", "n", "packed"])
+
+    def added(rows: pa.Table) -> pa.Table:
+        total = np.sum([unpacked(x) for x in rows.column("packed").to_pylist()], axis=0)
+        return pa.table({"part": rows.column("part").slice(0, 1), "packed": pa.array([packed(total)], pa.binary())})
+
+    found = durable(training.select("lang", "text", "key").mapInArrow(count, "part int, name string, n long, packed binary"))
+    texts = found.where(f"part = {PARTS}").agg(F.sum("n")).first()[0]
+    if not texts:
         return np.zeros(BUCKETS, np.int64), 0, {}
-    seen = np.zeros(BUCKETS, np.int64)
-    inner = sums.where("kind = 'bucket'").toPandas()
-    seen[inner.name.astype(int).to_numpy()] = inner.n.to_numpy()
-    common = sums.where("kind = 'lang'").orderBy(F.desc("n"), "name").limit(LANGUAGES).select("name")
+    seen = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
+    for r in found.where(f"part < {PARTS}").groupBy("part").applyInArrow(added, "part int, packed binary").collect():
+        seen[r.part] = unpacked(r.packed)
+    common = found.where(f"part = {PARTS + 1}").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(LANGUAGES).select("name")
     place = F.row_number().over(Window.partitionBy("name").orderBy("n"))
-    keys = found.where("kind = 'key'").join(F.broadcast(common), "name").select("name", "n").distinct().withColumn("place", place).where(F.col("place") <= per_language)
+    keys = found.where(f"part = {PARTS + 2}").join(F.broadcast(common), "name").select("name", "n").distinct().withColumn("place", place).where(F.col("place") <= per_language)
     last = keys.groupBy("name").agg(F.max("n").alias("n"))
-    return seen, texts.n, {r["name"]: r["n"] for r in last.collect()}
+    return seen.ravel(), texts, {r["name"]: r["n"] for r in last.collect()}
 
 
 def vectors(sample: DataFrame, idf: np.ndarray) -> list[tuple[str, int, np.ndarray, np.ndarray]]:

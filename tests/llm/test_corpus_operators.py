@@ -511,3 +511,37 @@ def test_pipeline_stages(spark, nothing):
     assert abs(total(mixed) - total(clean)) <= 3 and encoded.count() == mixed.count()
     for _name, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, "").count() == 0
+
+
+def test_pipeline_runs_whole(spark, tmp_path):
+    """run() over a table with copies, two sources and junk: words by brute force, tokens by the library."""
+    import os
+
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rows = [(i, t, lang, "s" if i % 2 else "t") for i, t, lang, _ in language_rows()[:80]]
+    rows += [(500 + i, t, lang, s) for i, t, lang, s in rows[:9]] + [(900, "!!", None, "t"), (901, None, None, None)]
+    table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    groups = {d for d, _, c in brute_groups([(i, t) for i, t, _, _ in rows[:89]]) if d == c}
+    kept = {i: (t, s) for i, t, _, s in rows if i in groups}
+    sizes = Counter()
+    for t, s in kept.values():
+        sizes[s] += len(words(t))
+    wanted = {s: round(v) for s, v in brute_targets(sizes).items()}
+    library, taken = Tokenizer.from_file(corpus_pipeline.tokenizer_path()), Counter()
+    library.no_truncation()
+    library.no_padding()
+    for r in got:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        text, source = kept[r.doc_id]
+        full = library.encode(text, add_special_tokens=False).ids
+        # A copy is whole, or the one at its source's cut: a beginning of whole words.
+        cut = next(n for n in range(len(words(text)) + 1) if library.encode(" ".join(words(text)[:n]), add_special_tokens=False).ids == ids) if ids != full else len(words(text))
+        taken[source] += cut
+        assert r.n_tokens == len(ids) and r.decoded == library.decode(ids, skip_special_tokens=False)
+    assert taken == Counter(wanted)
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if folder:
+        assert all(os.listdir(os.path.join(folder.removeprefix("file://"), f)) == ["bpe"] for f in os.listdir(folder.removeprefix("file://")) if f.startswith("corpus-pipeline"))
