@@ -235,10 +235,14 @@ def one_of_each(documents: DataFrame, words: int = 2, percent: int = 80) -> Data
     made = F.lit(1 << 62) + F.pmod(text_key(), F.lit(1 << 61))
     rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), made).alias("doc_id"), "text")
     groups = durable(classified(rows, words, percent).where("doc_id = component_id").select("doc_id", "text_key", "group"))
-    kept = groups.where("group is not null").groupBy("group", "doc_id").agg(F.min("text_key").alias("text_key")).drop("group")
-    kept = kept.unionByName(groups.where("group is null").select("doc_id", "text_key"))
-    found = rows.withColumn("text_key", text_key()).join(kept, ["doc_id", "text_key"], "left_semi")
-    return found.dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    # Texts stay where they are read, but for the few rows that stand there more than once.
+    each = groups.groupBy("group", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+    first = each.where("group is not null").groupBy("group", "doc_id").agg(F.min(F.struct("text_key", "copies")).alias("first"))
+    kept = durable(first.select("doc_id", "first.*").unionByName(each.where("group is null").drop("group")))
+    hint = "broadcast" if kept.count() <= BROADCAST_IDS else "merge"
+    found = rows.withColumn("text_key", text_key()).join(kept.hint(hint), ["doc_id", "text_key"])
+    again = found.where("copies > 1").dropDuplicates(["doc_id", "text_key"])
+    return found.where("copies = 1").unionByName(again).select("row.*")
 
 
 def classified(documents: DataFrame, words: int, percent: int) -> DataFrame:
