@@ -59,13 +59,15 @@ def running_sums(numbers: Column) -> Column:
 AHEAD = 11
 
 
-def spans(text: Column, pattern: str, hint: Column | None = None, before: bool = False) -> Column:
+def spans(text: Column, pattern: str | tuple[str, str, str], hint: Column | None = None, before: bool = False) -> Column:
     """All leftmost non-overlapping matches of a Java pattern as array<struct<text,start,end>>, in code points.
 
     The pattern must not refer back to groups. `hint`: a cheap test without which there can be no match. `before`: adds
     the field before, the text from the fifth match before on, or from the start, so that nothing has to be cut from a
-    long text once for each match.
+    long text once for each match. Three patterns are what stands before, the span itself and what stands behind; a
+    character that frames one span can't frame the next.
     """
+    front, pattern, back = ("", pattern, "") if isinstance(pattern, str) else pattern
 
     def cut(parts: Column) -> Column:
         ahead = lambda i: F.array_join(F.slice(parts, F.greatest(i - AHEAD + 1, F.lit(1)), F.least(i, F.lit(AHEAD))), "")
@@ -74,7 +76,7 @@ def spans(text: Column, pattern: str, hint: Column | None = None, before: bool =
         return let(running_sums(F.transform(parts, F.length)), lambda at: F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), pick(at)))
 
     kind = SPAN[:-1] + ",before:string>" if before else SPAN
-    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, STAND_INS), f"({pattern})", f"{OPEN}$1{CLOSE}")
+    marked = F.regexp_replace(F.translate(text, OPEN + CLOSE, STAND_INS), f"(?<front>{front})(?<span>{pattern})(?<back>{back})", f"${{front}}{OPEN}${{span}}{CLOSE}${{back}}")
     found = let(F.split(marked, f"[{OPEN}{CLOSE}]"), lambda parts: F.when(F.size(parts) > 1, cut(parts)).otherwise(empty(kind)))
     test = F.regexp_like(text, F.lit(pattern)) if hint is None else hint
     return F.when(test, found).otherwise(empty(kind))

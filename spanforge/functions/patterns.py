@@ -29,3 +29,8 @@ ADDRESS_KEYWORD = (
     r"|postal|po\s+box|p\.o\.\s*box|phase|block|wing|industrial\s+estate|office|suite|unit)\b"
 )
 POSTAL = r"(?U)\b\d{6}\b|\b\d{5}(?:[-\s]\d{4})?\b"
+
+#: The forms that the queries' SQL states, as (before, span, behind): RE2 has no look-around, so spans are framed by the
+#: characters beside them, and its digits and blanks are those of ASCII.
+LETTER = r"\p{L}\p{N}_"
+FRAMED_EMAIL = (rf"^|[^/@{LETTER}]", rf"[{LETTER}.+\-]+@[{LETTER}\-]+(?:\.[{LETTER}\-]+)+", rf"[^.{LETTER}]|\z")

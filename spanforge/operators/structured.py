@@ -25,8 +25,8 @@ def has_digit(text: Column) -> Column:
     return F.regexp_like(text, F.lit(DIGIT))
 
 
-def email_spans(text: Column) -> Column:
-    return spans(text, P.EMAIL, F.contains(text, F.lit("@")))
+def email_spans(text: Column, pattern: str | tuple[str, str, str] = P.EMAIL) -> Column:
+    return spans(text, pattern, F.contains(text, F.lit("@")))
 
 
 def ip_spans(text: Column) -> Column:
