@@ -34,3 +34,4 @@ POSTAL = r"(?U)\b\d{6}\b|\b\d{5}(?:[-\s]\d{4})?\b"
 #: characters beside them, and its digits and blanks are those of ASCII.
 LETTER = r"\p{L}\p{N}_"
 FRAMED_EMAIL = (rf"^|[^/@{LETTER}]", rf"[{LETTER}.+\-]+@[{LETTER}\-]+(?:\.[{LETTER}\-]+)+", rf"[^.{LETTER}]|\z")
+FRAMED_IP = (r"^|[^\d.]|\D\.", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"\z|[^\d.]|\.\D|\.\z")

@@ -6,6 +6,8 @@ own row. The order of emission (email, phone, ip, card, ssn, dob) decides ties l
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ from ..schemas import MATCH, SPAN
 
 #: Any decimal digit; texts without one skip the patterns that need it.
 DIGIT = r"(?U)\d"
+#: Decimal digits of all scripts, which patterns take and casts don't, and their values.
+ALL_DIGITS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Nd")
+VALUES = "".join(str(unicodedata.decimal(c)) for c in ALL_DIGITS)
 
 
 def digits(text: Column) -> Column:
@@ -29,9 +34,9 @@ def email_spans(text: Column, pattern: str | tuple[str, str, str] = P.EMAIL) ->
     return spans(text, pattern, F.contains(text, F.lit("@")))
 
 
-def ip_spans(text: Column) -> Column:
-    small = lambda s: F.forall(F.split(s["text"], r"\."), lambda octet: octet.cast("int") <= 255)
-    return F.filter(spans(text, P.IP, has_digit(text)), small)
+def ip_spans(text: Column, pattern: str | tuple[str, str, str] = P.IP) -> Column:
+    small = lambda s: F.forall(F.split(F.translate(s["text"], ALL_DIGITS, VALUES), r"\."), lambda octet: octet.cast("int") <= 255)
+    return F.filter(spans(text, pattern, has_digit(text)), small)
 
 
 def card_candidates(text: Column) -> Column:

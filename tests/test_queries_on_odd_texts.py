@@ -8,7 +8,9 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
+from spanforge.operators import structured
 from spanforge.plans.oracles import ORACLES
 from spanforge.plans.queries import QUERIES
 
@@ -22,7 +24,7 @@ TEXTS = [
     "4111111111111111,4111111111111111", "١" * 16, "192.168.100.100 4111111111111111", "+4111 1111 1111 1111", "+1 411 111 1111 1111",
 ]
 PIECES = ["a@b.co", "c@d.org", "10.1.2.3", "1", "23", "4567", "4111111111111111", "+91", "98765", "43210", "9876543210", "555", "(555)", "123", " ", " ", "-", ".", ",", "\n", "é", "́", "٣", "\x0b", "\x85"]
-NAMES = ["email_spans"]
+NAMES = ["email_spans", "ip_spans"]
 
 
 def rows(names, found):
@@ -54,3 +56,10 @@ def test_equal_to_sql(spark, odd, name):
     expected = [dict(zip(names, r, strict=True)) for r in found.fetchall()]
     assert expected and sorted(names) == sorted(got.columns)
     assert rows(names, got.collect()) == rows(names, expected)
+
+
+def test_ip_in_digits_of_any_script(spark):
+    """The operator takes them as the pattern does; a cast to int stopped the whole run."""
+    made = spark.createDataFrame([("from ١٠.2.3.٤",), ("٩٩٩.1.1.1",)], "text string")
+    got = [[s.text for s in r[0]] for r in made.select(structured.ip_spans(F.col("text"))).collect()]
+    assert got == [["١٠.2.3.٤"], []]
