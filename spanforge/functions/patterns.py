@@ -35,3 +35,5 @@ POSTAL = r"(?U)\b\d{6}\b|\b\d{5}(?:[-\s]\d{4})?\b"
 LETTER = r"\p{L}\p{N}_"
 FRAMED_EMAIL = (rf"^|[^/@{LETTER}]", rf"[{LETTER}.+\-]+@[{LETTER}\-]+(?:\.[{LETTER}\-]+)+", rf"[^.{LETTER}]|\z")
 FRAMED_IP = (r"^|[^\d.]|\D\.", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"\z|[^\d.]|\.\D|\.\z")
+GAP = r"[\t\n\f\r \-.]"
+FRAMED_INTERNATIONAL = (r"^|\D", rf"\+\d{{1,3}}{GAP}?\(?\d{{1,5}}\)?{GAP}\d{{3,5}}{GAP}\d{{4,5}}", r"\z|\D")
