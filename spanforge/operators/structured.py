@@ -92,6 +92,13 @@ def phone_spans(text: Column) -> Column:
     return let(international, lambda a: let(outside(ten, a), lambda b: F.concat(a, b, outside(outside(us, a), b))))
 
 
+def framed_phone_spans(text: Column) -> Column:
+    """International and US numbers in their framed forms, the latter where neither end lies in one of the former: what
+    the queries' SQL states. It knows no bare ten-digit numbers; `phone_spans` does."""
+    international = spans(text, P.FRAMED_INTERNATIONAL, F.contains(text, F.lit("+")))
+    return let(international, lambda a: F.concat(a, outside(spans(text, P.FRAMED_US, has_digit(text)), a)))
+
+
 def date_spans(text: Column) -> Column:
     """Date-shaped strings; equal spans count once, overlapping ones are left to the resolver."""
     return F.array_distinct(F.concat(*[spans(text, p, has_digit(text)) for p in P.DATES]))
