@@ -38,3 +38,4 @@ FRAMED_IP = (r"^|[^\d.]|\D\.", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", r"\z|[^\d.
 GAP = r"[\t\n\f\r \-.]"
 FRAMED_INTERNATIONAL = (r"^|\D", rf"\+\d{{1,3}}{GAP}?\(?\d{{1,5}}\)?{GAP}\d{{3,5}}{GAP}\d{{4,5}}", r"\z|\D")
 FRAMED_US = (r"^|\D", rf"(?:\(\d{{3}}\)|\d{{3}}){GAP}\d{{3}}{GAP}\d{{4}}", r"\z|\D")
+FRAMED_CARD = (r"^|\D", r"(?:\d[ \-]?){13,19}\d", r"\z|\D")

@@ -39,8 +39,14 @@ def ip_spans(text: Column, pattern: str | tuple[str, str, str] = P.IP) -> Column
     return F.filter(spans(text, pattern, has_digit(text)), small)
 
 
-def card_candidates(text: Column) -> Column:
-    return spans(text, P.CARD, has_digit(text))
+def card_candidates(text: Column, pattern: str | tuple[str, str, str] = P.CARD) -> Column:
+    return spans(text, pattern, has_digit(text))
+
+
+def parted(text: Column) -> Column:
+    """The text with a second blank behind a long run of digits, so that two cards that one blank parts are both framed
+    and a number behind a card does not become part of it. Offsets are those of this text."""
+    return F.regexp_replace(text, r"(?<!\d)(\d{14,}+) ", "$1  ")
 
 
 def card_spans(text: Column) -> Column:
