@@ -49,12 +49,12 @@ def parted(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<!\d)(\d{14,}+) ", "$1  ")
 
 
-def card_spans(text: Column) -> Column:
+def card_spans(text: Column, pattern: str | tuple[str, str, str] = P.CARD) -> Column:
     def fine(s: Column) -> Column:
         bare = F.regexp_replace(s["text"], "[ -]", "")
         return F.length(bare).between(13, 19) & F.call_function("luhn_check", bare)
 
-    return F.filter(card_candidates(text), fine)
+    return F.filter(card_candidates(text, pattern), fine)
 
 
 def ssn_spans(text: Column) -> Column:
