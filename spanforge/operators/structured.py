@@ -122,8 +122,8 @@ def ssn_confidence(cut: Column, span: Column) -> Column:
     return F.when(F.regexp_like(around(cut, span, 50), F.lit(P.SSN_CONTEXT)), 0.95).otherwise(0.80)
 
 
-def detect_emails(text: Column) -> Column:
-    return F.transform(email_spans(text), lambda s: as_match(s, "EMAIL", 1.0, "regex"))
+def detect_emails(text: Column, pattern: str | tuple[str, str, str] = P.EMAIL) -> Column:
+    return F.transform(email_spans(text, pattern), lambda s: as_match(s, "EMAIL", 1.0, "regex"))
 
 
 def detect_phones(text: Column) -> Column:
