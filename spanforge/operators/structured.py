@@ -164,3 +164,11 @@ def register_detector(category: str, detect) -> None:
 def detect_structured(text: Column) -> Column:
     """All structured matches of a block, numbered in order of emission; a null block has none."""
     return let(F.coalesce(text, F.lit("")), lambda t: numbered(F.concat(*[detect(t) for detect in DETECTORS.values()])))
+
+
+def framed_structured(text: Column) -> Column:
+    """(category, text) of the kinds that the queries' SQL states, in their framed forms and without resolution: e-mail,
+    IP, international and US phones, cards."""
+    found = {"EMAIL": email_spans(text, P.FRAMED_EMAIL), "IP": ip_spans(text, P.FRAMED_IP), "PHONE": framed_phone_spans(text), "CREDIT_CARD": card_spans(parted(text), P.FRAMED_CARD)}
+    of = lambda category: lambda s: F.struct(F.lit(category).alias("category"), s["text"].alias("text"))
+    return F.concat(*[F.transform(s, of(category)) for category, s in found.items()])
