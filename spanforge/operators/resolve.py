@@ -31,8 +31,10 @@ def _worth(m: Column) -> Column:
 
 
 def in_order(matches: Column) -> Column:
+    """By start, end and emission; the other fields decide where these agree, so that no order of rows shows through."""
+
     def compare(a: Column, b: Column) -> Column:
-        key = lambda m: F.struct(m["start"], m["end"], m["seq"])
+        key = lambda m: F.struct(m["start"], m["end"], m["seq"], m)
         return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
     return F.array_sort(matches, compare)

@@ -168,3 +168,11 @@ def test_score_cases(spark):
     got = one([alice, bob, wrong], [alice, bob])
     assert got["EMAIL"] == (2, 1, 0, 2 / 3, 1.0) and got["SSN"] == (0, 0, 0, None, None)
     assert got["OVERALL"] == (2, 1, 0, 2 / 3, 1.0) and len(got) == 10
+
+
+def test_equal_places_resolve_alike_in_any_order_of_rows(spark):
+    """Matches of one place, number and worth: which one stays does not depend on the order in which they come."""
+    made = [(c, c, 1, 5, 0.5, False, "ner", 3) for c in ("EMAIL", "PERSON", "PHONE")]
+    rows = spark.createDataFrame([(made,), (made[::-1],), (made[1:] + made[:1],)], f"matches array<{MATCH}>")
+    got = [[m.category for m in r[0]] for r in rows.select(resolve(F.col("matches"))).collect()]
+    assert got == [["EMAIL"]] * 3
